@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import pairwise_quality, toxicity_fm
 from tidemark.llm.common import table
 from tidemark.llm.fingerprints import fingerprint_documents
+from tidemark.llm.jaccard_groups import jaccard_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.piece_codec import encode_texts
 from tidemark.llm.token_counts import count_tokens
@@ -31,6 +32,10 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,6 +44,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pairwise_quality, op3_bottom_k, op4_toxicity_fm, op5_piece_codec, op7_best_two_fit, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pairwise_quality, op3_bottom_k, op4_toxicity_fm, op5_piece_codec, op6_token_groups, op7_best_two_fit, op9_token_counts)}
 
 ORACLES: dict[str, str] = {}
