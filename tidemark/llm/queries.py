@@ -13,6 +13,7 @@ from tidemark.llm.fingerprints import fingerprint_documents
 from tidemark.llm.jaccard_groups import jaccard_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.piece_codec import encode_texts
+from tidemark.llm.surrogates import replace_entities
 from tidemark.llm.token_counts import count_tokens
 
 
@@ -20,6 +21,10 @@ def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pairwise_quality, op3_bottom_k, op4_toxicity_fm, op5_piece_codec, op6_token_groups, op7_best_two_fit, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pairwise_quality, op2_surrogates, op3_bottom_k, op4_toxicity_fm, op5_piece_codec, op6_token_groups, op7_best_two_fit, op9_token_counts)}
 
 ORACLES: dict[str, str] = {}
