@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def order_key(time: Column, sequence: Sequence[Column], falling: bool = False) -
     """
     if len(sequence) == 1:
         own = -sequence[0] if falling else sequence[0]
-        return F.unix_micros(time.cast("timestamp")).cast("decimal(38,0)") * F.lit(10**19).cast("decimal(20,0)") + own.cast("decimal(19,0)")
+        return F.unix_micros(time.cast("timestamp")).cast("decimal(38,0)") * F.lit(Decimal(10**19)) + own.cast("decimal(19,0)")
     return F.struct(time, *[-s if falling else s for s in sequence])
 
 
