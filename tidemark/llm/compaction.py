@@ -142,10 +142,11 @@ class ShardStore:
         last = self.version()
         used = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v).shards}
         old = {s.path for v in range(1, max(1, last - keep + 1)) for s in self.manifest(v).shards} - used
+        gone = 0
         for path in sorted(old):
             fs, p = hadoop_fs(self.spark, f"{self.root}/{path}")
-            fs.delete(p, False)
-        return len(old)
+            gone += bool(fs.delete(p, False))
+        return gone
 
 
 def shard_documents(docs: DataFrame, root: str, tiers: Tiers = Tiers()) -> DataFrame:

@@ -81,8 +81,8 @@ def fingerprint(a: Column) -> Column:
 def parse_fingerprint(text: Column) -> Column:
     """The sketch of a fingerprint."""
     n = BITS // 4
-    places = F.sequence(F.lit(0), F.length(text) / n - 1)
-    return F.when(F.length(text) > 0, F.transform(places, lambda i: F.conv(F.substring(text, (i * n + 1).cast("int"), F.lit(n)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    places = F.sequence(F.lit(0), (F.length(text) / n).cast("int") - 1)
+    return F.when(F.length(text) > 0, F.transform(places, lambda i: F.conv(F.substring(text, i * n + 1, F.lit(n)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
