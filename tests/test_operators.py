@@ -37,7 +37,7 @@ def test_durations():
 
 def test_buckets(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 10, 12),), (datetime(1969, 12, 31, 23),), (None,)], "t timestamp_ntz")
-    got = df.select(bucket(F.col("t"), "7d").alias("a"), bucket(F.col("t"), "7d", "epoch").alias("b"), bucket(F.col("t"), "1h").alias("c")).collect()
+    got = df.select(bucket(F.col("t"), "7d").alias("a"), bucket(F.col("t"), "7d", "unix").alias("b"), bucket(F.col("t"), "1h").alias("c")).collect()
     assert tuple(got[0]) == (datetime(2024, 1, 8), datetime(2024, 1, 4), datetime(2024, 1, 10, 12))
     assert got[1]["a"] == datetime(1969, 12, 29) and got[2]["a"] is None
     with pytest.raises(ValueError):

@@ -16,13 +16,13 @@ def offset(width: str | int, align: str = "monday") -> int:
     d = micros(width)
     if d <= 0:
         raise ValueError("a bucket's width must be positive")
-    if align not in ("monday", "epoch"):
+    if align not in ("monday", "unix"):
         raise ValueError(f"unknown alignment {align!r}")
     return -_YEAR_ONE * 1_000_000 % d if align == "monday" else 0
 
 
 def bucket(time: Column, width: str | int, align: str = "monday") -> Column:
-    """Start of the bucket of a time: of multiples of the width since 0001-01-01 (``monday``) or 1970-01-01 (``epoch``). The session's time zone must be UTC."""
+    """Start of the bucket of a time: of multiples of the width since 0001-01-01 (``monday``) or 1970-01-01 (``unix``). The session's time zone must be UTC."""
     us = F.unix_micros(time.cast("timestamp"))
     start = us - F.pmod(us - F.lit(offset(width, align)), F.lit(micros(width)))
     return F.timestamp_micros(start).cast("timestamp_ntz")

@@ -187,9 +187,9 @@ for _name, _width, _sql in (("5m", "5m", "5 MINUTE"), ("7m", "7m", "7 MINUTE"),
     )
 
 
-@register("SELECT make_timestamp(CAST((epoch_us(ts) // 604800000000) * 604800000000 AS BIGINT)) AS time, count(*) AS n FROM events GROUP BY 1")
-def group_time_1w_epoch(s, d):
-    return Query(events(s, d)).agg(("count", "*", "n")).group_by(every="7d", align="epoch").run()
+@register("SELECT time_bucket(INTERVAL '7 DAY', ts, TIMESTAMP '1970-01-01') AS time, count(*) AS n FROM events GROUP BY 1")
+def group_time_1w_1970(s, d):
+    return Query(events(s, d)).agg(("count", "*", "n")).group_by(every="7d", align="unix").run()
 
 
 @register(f"SELECT time_bucket(INTERVAL '1 HOUR', ts) AS time, event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.9), 6) AS p90, {_FIRST} AS a, {_LAST} AS b FROM events GROUP BY 1, 2")
@@ -276,20 +276,20 @@ def series_cardinality(s, d):
 
 # Continuous queries and retention
 
-@register("SELECT make_timestamp(CAST((epoch_us(ts) // 3600000000) * 3600000000 AS BIGINT)) AS time, event_type, round(avg(value), 6) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07 13:00:00' GROUP BY 1, 2")
+@register("SELECT time_bucket(INTERVAL '1 HOUR', ts, TIMESTAMP '1970-01-01') AS time, event_type, round(avg(value), 6) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07 13:00:00' GROUP BY 1, 2")
 def cq_downsample_mean(s, d):
     cq = ContinuousQuery("hourly", "db", "events", "events_1h", "value", "mean", "1h")
     return rounded(cq.batch(events(s, d), "2024-01-05", "2024-01-07T13:59:00Z"))
 
 
-@register("SELECT make_timestamp(CAST((epoch_us(ts) // 604800000000) * 604800000000 AS BIGINT)) AS time, event_type, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+@register("SELECT time_bucket(INTERVAL '7 DAY', ts, TIMESTAMP '1970-01-01') AS time, event_type, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def cq_downsample_week_1970(s, d):
     df = ContinuousQuery("weekly", "db", "events", "events_1w", "value", "sum", "7d").batch(events(s, d))
     return df.select("time", "event_type", F.round("value", 4).alias("value"))
 
 
 for _f, _sql in (("count", "count(value)"), ("min", "min(value)"), ("max", "max(value)"), ("first", _FIRST), ("last", _LAST)):
-    register(f"SELECT make_timestamp(CAST((epoch_us(ts) // 86400000000) * 86400000000 AS BIGINT)) AS time, event_type, {_sql} AS value FROM events GROUP BY 1, 2", f"cq_daily_{_f}")(
+    register(f"SELECT time_bucket(INTERVAL '1 DAY', ts, TIMESTAMP '1970-01-01') AS time, event_type, {_sql} AS value FROM events GROUP BY 1, 2", f"cq_daily_{_f}")(
         lambda s, d, f=_f: ContinuousQuery("daily", "db", "events", "events_1d", "value", f, "1d").batch(events(s, d))
     )
 
@@ -299,7 +299,7 @@ def retention_keep(s, d):
     return keep(events(s, d), "7d", NOW).df.select("event_id")
 
 
-@register("SELECT make_timestamp(CAST((epoch_us(ts) // 3600000000) * 3600000000 AS BIGINT)) AS time, event_type, round(avg(value), 6) AS value_mean, max(value) AS value_max, count(value) AS value_count FROM events WHERE ts < TIMESTAMP '2024-01-13' GROUP BY 1, 2")
+@register("SELECT time_bucket(INTERVAL '1 HOUR', ts, TIMESTAMP '1970-01-01') AS time, event_type, round(avg(value), 6) AS value_mean, max(value) AS value_max, count(value) AS value_count FROM events WHERE ts < TIMESTAMP '2024-01-13' GROUP BY 1, 2")
 def retention_downsample(s, d):
     m = events(s, d)
     return rounded(downsampled(m.over(m.df.where("ts < timestamp_ntz'2024-01-13'")), Downsample("1h", ("mean", "max", "count"), "_1h")))

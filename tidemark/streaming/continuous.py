@@ -50,7 +50,7 @@ class ContinuousQuery:
         """The buckets that lie wholly between two instants (start included, end not), aligned to 1970."""
         if start is not None or end is not None:
             m = time_range(m, self.floor(start) if start is not None else None, self.floor(end) if end is not None else None, include_end=False)
-        return group(m, [(self.function, self.field, self.field)], self.every, self.tags(m), align="epoch")
+        return group(m, [(self.function, self.field, self.field)], self.every, self.tags(m), align="unix")
 
     def floor(self, at) -> datetime:
         at = instant(at)
@@ -72,7 +72,7 @@ class ContinuousQuery:
         """The same buckets of a stream, each once, when points can't come for it any more: ``late`` (default: one bucket) after its end."""
         us = micros(self.every)
         stamp = m.df.withColumn("_at", F.col(m.time).cast("timestamp")).withWatermark("_at", f"{micros(late) // 1000 if late else us // 1000} milliseconds")
-        begin = F.window("_at", f"{us} microseconds", f"{us} microseconds", f"{offset(self.every, 'epoch')} microseconds")
+        begin = F.window("_at", f"{us} microseconds", f"{us} microseconds", f"{offset(self.every, 'unix')} microseconds")
         x = aggregate(self.function, F.col(self.field), m.kinds[self.field], F.col(m.time), [F.col(c) for c in m.sequence])
         out = stamp.groupBy(begin.alias("_w"), *self.tags(m)).agg(x.alias(self.field))
         return out.select(F.col("_w.start").cast("timestamp_ntz").alias("time"), *self.tags(m), self.field)

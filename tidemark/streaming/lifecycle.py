@@ -70,7 +70,7 @@ def keep(m: Measurement, duration: str, now) -> Measurement:
 def downsampled(m: Measurement, how: Downsample) -> DataFrame:
     """For each field and aggregate a column ``field_aggregate``, per bucket and series."""
     specs = [(a, f, f"{f}_{a}") for f in m.fields if m.kinds[f] not in ("string", "boolean") for a in how.aggregates]
-    return group(m, specs, how.every, m.tags, align="epoch")
+    return group(m, specs, how.every, m.tags, align="unix")
 
 
 def _fs(spark: SparkSession, path: str):
