@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """id, component (the smallest id) for each end of the edges a, b.
 
     In each round every vertex takes the neighbour, or itself, that comes first in an order drawn for the round; edges then join what their
     ends took. A round leaves a fraction of the vertices, so there are few rounds, whatever the shape of the graph. Nothing but the number
-    of edges left reaches the driver.
+    of edges left reaches the driver. After ``rounds`` rounds the parts known by then are given: connected, but perhaps not whole components.
     """
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id"))
     turn = 0
-    while not left.isEmpty():
+    while turn != rounds and not left.isEmpty():
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ends = both.union(left.select("a", F.col("a").alias("b"))).union(left.select(F.col("b").alias("a"), "b"))
         took = cut(ends.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("to")))

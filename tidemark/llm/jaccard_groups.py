@@ -2,7 +2,7 @@
 
 Documents with equal sets are one class. A set's tokens are ordered alike everywhere, frequent ones last, and only the first ones enter the
 matrix: two sets that are similar enough share some of those. Classes that prove similar to a leader they share tokens with form groups. The
-matrix then holds, for each token, the groups whose union has it. Where a token stands in one group only, no query overlaps another group;
+matrix then holds, for each token, the groups whose union has it; tokens that stand in just the same sets are one row with a weight. Where a token stands in one group only, no query overlaps another group;
 elsewhere, bounds from sizes, parity maps and the number of shared tokens tell which members are worth opening, and those are compared
 set by set. Bounds never lose a pair: they follow from the threshold alone.
 """
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ COUNTERS, SLICES = 1 << 22, 256
 #: Matrix entries that one task sorts, and members of a token's group that one task compares with each other.
 ENTRIES, BLOCK = 1_200_000, 1500
 LEADERS = 3
+#: Ids of wanted texts that are broadcast at most; beyond that many, all texts are dealt by id.
+WANTED = 1_000_000
 
 
 def needed(n):
@@ -177,6 +180,13 @@ def _shared_tokens(entries: DataFrame, buckets: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(run, "token long, sig long, n long")
 
 
+def _rows_with_weights(shared: DataFrame) -> DataFrame:
+    """token, sig, n, w: of the tokens that stand in just the same sets, told by a hash of those, one stays, for ``w`` of them."""
+    rows = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("sig")).alias("sets"), F.count(F.lit(1)).alias("m"))
+    kept = rows.groupBy("sets", "m").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("w"))
+    return shared.join(kept.select("token", "w"), "token")
+
+
 def _differences(a: pa.Array, b: pa.Array) -> np.ndarray:
     """In how many places each pair of parity maps differs."""
     if not len(a):
@@ -190,8 +200,8 @@ def _leader_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     masks = [0, -1, 0x5A5A5A5A5A5A5A5A, 0x3C96C3693C96C369][:LEADERS]
     leads = shared.groupBy("token").agg(*[F.min(F.col("sig").bitwiseXOR(F.lit(m))).alias(f"l{i}") for i, m in enumerate(masks)])
     leads = leads.select("token", F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(masks)])).alias("leaders"))
-    found = shared.join(leads, "token").select("sig", F.explode("leaders").alias("leader")).where("sig <> leader")
-    found = found.groupBy("sig", "leader").agg(F.count(F.lit(1)).alias("k"))
+    found = shared.join(leads, "token").select("sig", "w", F.explode("leaders").alias("leader")).where("sig <> leader")
+    found = found.groupBy("sig", "leader").agg(F.sum("w").alias("k"))
     best = found.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "leader")), asc=False), 1, LEADERS).alias("best"))
     pairs = best.select("sig", F.explode("best.leader").alias("leader")).select(F.least("sig", "leader").alias("sig1"), F.greatest("sig", "leader").alias("sig2")).distinct()
     one = classes.select(F.col("sig_a").alias("sig1"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig_b").alias("ca"), F.col("parity").alias("pa"))
@@ -207,57 +217,98 @@ def _leader_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "ca", "cb", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long, ca long, cb long").distinct()
 
 
+def _pairs_of_runs(edge: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs in runs of rows, a bounded number at a time; of a run with two parts only pairs across."""
+    sizes = np.diff(edge)
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):
+        i, j = np.triu_indices(m, 1)
+        starts = edge[:-1][sizes == m]
+        step = max(1, 300_000 // len(i))
+        for at in range(0, len(starts), step):
+            own = starts[at : at + step, None]
+            x, y = (own + i).ravel(), (own + j).ravel()
+            split = np.repeat(part[own[:, 0]] != part[own[:, 0] + m - 1], len(i))
+            keep = ~split | (part[x] != part[y])
+            yield x[keep], y[keep]
+    for start, end in zip(edge[:-1][sizes > 64], edge[1:][sizes > 64], strict=True):
+        split = int(np.searchsorted(part[start:end], part[start], side="right")) + start
+        for x in range(start, split if split < end else end - 1):
+            y = np.arange(split if split < end else x + 1, end)
+            yield np.full(len(y), x), y
+
+
 def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of classes of different groups that the bounds let through."""
-    member = classes.join(groups, classes["rep"] == groups["id"], "left").select(F.col("sig_a").alias("sig"), "rep", F.col("sig_b").alias("check"), "parity", F.coalesce("component", "rep").alias("grp"))
-    matrix = cut(shared.join(member.select("sig", "rep", "grp"), "sig"))
+    """Pairs of classes of different groups that the bounds let through, each pair once: at the first token that both have."""
+    member = classes.join(groups, classes["rep"] == groups["id"], "left").select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("check"), "rep", "parity", F.coalesce("component", "rep").alias("grp"))
+    matrix = cut(shared.join(member.select("sig", "check", "rep", "grp"), "sig"))
     rows = matrix.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.count(F.lit(1)).alias("m")).where("g1 <> g2")
     part = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_ = matrix.join(rows.select("token", "m"), "token").join(member.select("rep", "check", "parity"), "rep")
+    open_ = cut(matrix.join(rows.select("token", "m"), "token"))
+    tokens = open_.groupBy("rep", "check").agg(F.collect_list("token").alias("tokens"), F.collect_list("w").alias("weights"))
+    lists = tokens.join(member.select("rep", "check", "parity"), ["rep", "check"])
     open_ = open_.withColumn("parts", part).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # Of a token with many sets, each pair of parts is one unit of work.
     units = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("part", j) * F.col("parts") + F.greatest("part", j)))
-    open_ = open_.select("token", F.explode(units).alias("unit"), "part", "rep", "n", "grp", "check", "parity")
+    open_ = open_.select("token", F.explode(units).alias("unit"), "part", "rep", "n", "grp", "check")
     open_ = open_.withColumn("bucket", F.pmod(F.xxhash64("token", "unit"), F.lit(buckets)).cast("int"))
+    # A bucket gets each set's tokens and parity map once, however many of its tokens meet there.
+    lists = open_.select("bucket", "rep", "check").distinct().join(lists, ["rep", "check"])
+    both = open_.unionByName(lists, allowMissingColumns=True)
 
     def run(table: pa.Table) -> pa.Table:
-        token, unit, part, rep, n, grp, check = (np.asarray(table.column(c).combine_chunks()) for c in ("token", "unit", "part", "rep", "n", "grp", "check"))
-        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), _U).reshape(len(token), -1)
-        order = np.lexsort((part, unit, token))
-        key = np.concatenate([[0], np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(unit[order]) != 0)) + 1, [len(order)]])
-        left, right = [], []
-        for i, j in zip(key[:-1], key[1:], strict=True):
-            at = order[i:j]
-            split = np.searchsorted(part[at], part[at[0]], side="right")
-            across = split < len(at)
-            for x in range(split if across else len(at) - 1):
-                rest = at[split:] if across else at[x + 1 :]
-                a = at[x]
-                rest = rest[(grp[rest] != grp[a]) & (4 * np.minimum(n[rest], n[a]) >= 3 * np.maximum(n[rest], n[a]))]
-                if len(rest):
-                    rest = rest[7 * np.bitwise_count(parity[rest] ^ parity[a]).sum(1, dtype=np.int64) <= n[rest] + n[a]]
-                if len(rest):
-                    left.append(np.full(len(rest), a))
-                    right.append(rest)
-        if not left:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "ca", "cb", "least", "k")})
-        x, y = np.concatenate(left), np.concatenate(right)
-        swap = rep[x] > rep[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        order = np.lexsort((check[y], check[x], rep[y], rep[x]))
-        x, y = x[order], y[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(rep[x]) != 0) | (np.diff(rep[y]) != 0) | (np.diff(check[x]) != 0) | (np.diff(check[y]) != 0)]))
-        k = np.diff(np.concatenate([new, [len(x)]]))
-        x, y = x[new], y[new]
-        return pa.table({"a": rep[x], "b": rep[y], "ca": check[x], "cb": check[y], "least": needed(np.minimum(n[x], n[y])), "k": k})
-
-    found = open_.groupBy("bucket").applyInArrow(run, "a long, b long, ca long, cb long, least long, k long")
-    return found.groupBy("a", "b", "ca", "cb").agg(F.max("least").alias("least"), F.sum("k").alias("k")).where("k >= least").select("a", "b", "ca", "cb")
+        listed = pc.is_valid(table.column("parity"))
+        own, table = table.filter(listed), table.filter(pc.invert(listed))
+        names = list(zip(own.column("rep").to_pylist(), own.column("check").to_pylist(), strict=True))
+        index = {k: i for i, k in enumerate(names)}
+        maps = np.frombuffer(b"".join(own.column("parity").to_pylist()), _U).reshape(len(names), -1)
+        lists, weights = own.column("tokens"), own.column("weights")
+        known: dict[int, dict[int, int]] = {}
+
+        def tokens_of(i: int) -> dict[int, int]:
+            if i not in known:
+                known[i] = dict(zip(lists[i].values.to_numpy().tolist(), weights[i].values.to_numpy().tolist(), strict=True))
+            return known[i]
+
+        table = table.take(pa.array(np.lexsort([np.asarray(table.column(c).combine_chunks()) for c in ("part", "unit", "token")])))
+        token, unit, part, n, grp = (np.asarray(table.column(c).combine_chunks()) for c in ("token", "unit", "part", "n", "grp"))
+        place = np.array([index[k] for k in zip(table.column("rep").to_pylist(), table.column("check").to_pylist(), strict=True)], np.int64)
+        size = np.zeros(len(names), np.int64)
+        size[place] = n
+        edge = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(unit) != 0)) + 1, [len(token)]])
+        met, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in _pairs_of_runs(edge, part):
+            keep = np.flatnonzero((grp[x] != grp[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])))
+            x, y = x[keep], y[keep]
+            keep = np.flatnonzero(7 * np.bitwise_count(maps[place[x]] ^ maps[place[y]]).sum(1, dtype=np.int64) <= n[x] + n[y])
+            x, y = x[keep], y[keep]
+            i, j = np.minimum(place[x], place[y]), np.maximum(place[x], place[y])
+            met.append(i * len(names) + j)
+            at.append(token[x])
+        met, at = np.concatenate(met), np.concatenate(at)
+        order = np.lexsort((at, met))
+        met, at = met[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(met) != 0])) if len(met) else np.zeros(0, np.int64)
+        out = []
+        for i, j, t in zip((met[first] // len(names)).tolist(), (met[first] % len(names)).tolist(), at[first].tolist(), strict=True):
+            a, b = tokens_of(i), tokens_of(j)
+            shared_here = a.keys() & b.keys()
+            if t == min(shared_here) and sum([a[x] for x in shared_here]) >= needed(min(size[i], size[j])):
+                out.append((*names[i], *names[j]) if names[i] <= names[j] else (*names[j], *names[i]))
+        a, ca, b, cb = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({k: pa.array(list(v), pa.int64()) for k, v in (("a", a), ("b", b), ("ca", ca), ("cb", cb))})
+
+    return both.groupBy("bucket").applyInArrow(run, "a long, b long, ca long, cb long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts' sets are similar enough, set by set."""
+    """The pairs whose texts' sets are similar enough, set by set. ``pairs`` is a written table.
+
+    If few enough texts are wanted, their ids are broadcast and only those texts are dealt; else all are.
+    """
     texts = docs.select(F.col("doc_id").alias("a"), "text").where("a is not null")
+    if pairs.count() <= WANTED // 2:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+        texts = texts.join(F.broadcast(wanted), "a", "left_semi")
     both = pairs.join(texts, "a").withColumnRenamed("text", "ta").join(texts.withColumnRenamed("a", "b").withColumnRenamed("text", "tb"), "b")
 
     def run(batches):
@@ -287,16 +338,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = max(12, shuffle_partitions(spark) // 4, -(-int(0.31 * total) // ENTRIES))
     shared = cut(_shared_tokens(_entries(docs, levels, buckets), buckets))
     release(spark)
+    shared = cut(_rows_with_weights(shared))
+    release(spark)
     classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")))
     links = cut(_verified(cut(_leader_pairs(shared, classes)), docs))
     release(spark)
-    groups = components(links)
+    groups = components(links, rounds=3)  # what is known so far; the rest follows below
     more = cut(_group_pairs(shared, classes, cut(groups), max(buckets, shuffle_partitions(spark))))
     release(spark)
     if not more.isEmpty():
         links = links.union(cut(_verified(more, docs)))
-        groups = components(links)
-        release(spark)
+    groups = components(links)
+    release(spark)
     known = cut(classes.select("sig_a", "sig_b", "rep").join(groups, F.col("rep") == F.col("id"), "left").select("sig_a", "sig_b", F.coalesce("component", "rep").alias("component")))
     out = sets.join(known, ["sig_a", "sig_b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
