@@ -19,12 +19,13 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     labels = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id"))
     turn = 0
     while turn != rounds and not left.isEmpty():
-        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ends = both.union(left.select("a", F.col("a").alias("b"))).union(left.select(F.col("b").alias("a"), "b"))
+        ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e")).select("e.a", "e.b")
         took = cut(ends.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("to")))
-        labels = cut(labels.join(took, labels["label"] == took["a"], "left").select("id", F.coalesce("to", "label").alias("label")))
+        # Looked up when all rounds are over: a vertex that a round doesn't know keeps its label.
+        labels = labels.join(took, labels["label"] == took["a"], "left").select("id", F.coalesce("to", "label").alias("label"))
         x = left.join(took.select("a", F.col("to").alias("x")), "a").join(took.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         left = cut(x.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
+    labels = cut(labels)
     smallest = labels.groupBy("label").agg(F.min("id").alias("component"))
     return labels.join(smallest, "label").select("id", "component")

@@ -28,8 +28,10 @@ _U = np.uint64
 COUNTERS, SLICES = 1 << 22, 256
 #: Matrix entries that one task sorts, and members of a token's group that one task compares with each other.
 ENTRIES, BLOCK = 1_200_000, 1500
+#: Matrix entries of opened groups that one task compares.
+OPENED = 100_000
 LEADERS = 3
-#: Ids of wanted texts that are broadcast at most; beyond that many, all texts are dealt by id.
+#: Wanted texts, two for each pair, whose ids are broadcast at most; beyond that many, all texts are dealt by id.
 WANTED = 1_000_000
 
 
@@ -237,13 +239,14 @@ def _pairs_of_runs(edge: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndar
             yield np.full(len(y), x), y
 
 
-def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
+def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of classes of different groups that the bounds let through, each pair once: at the first token that both have."""
     member = classes.join(groups, classes["rep"] == groups["id"], "left").select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("check"), "rep", "parity", F.coalesce("component", "rep").alias("grp"))
     matrix = cut(shared.join(member.select("sig", "check", "rep", "grp"), "sig"))
     rows = matrix.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.count(F.lit(1)).alias("m")).where("g1 <> g2")
     part = F.ceil(F.col("m") / BLOCK).cast("int")
     open_ = cut(matrix.join(rows.select("token", "m"), "token"))
+    buckets = max(24, -(-open_.count() // OPENED))
     tokens = open_.groupBy("rep", "check").agg(F.collect_list("token").alias("tokens"), F.collect_list("w").alias("weights"))
     lists = tokens.join(member.select("rep", "check", "parity"), ["rep", "check"])
     open_ = open_.withColumn("parts", part).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -303,23 +306,35 @@ def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame, bucke
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose texts' sets are similar enough, set by set. ``pairs`` is a written table.
 
-    If few enough texts are wanted, their ids are broadcast and only those texts are dealt; else all are.
+    Each text goes to the pairs that want it, and a pair's two texts meet. If the pairs are few enough they are broadcast, so that other
+    texts stay where they are; else texts are dealt by id.
     """
-    texts = docs.select(F.col("doc_id").alias("a"), "text").where("a is not null")
+    asked = pairs.select("a", "b", "ca", "cb", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("id"), F.lit(1).alias("side")))).alias("e"))
+    asked = asked.select("e.id", "e.side", "a", "b", "ca", "cb")
     if pairs.count() <= WANTED // 2:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-        texts = texts.join(F.broadcast(wanted), "a", "left_semi")
-    both = pairs.join(texts, "a").withColumnRenamed("text", "ta").join(texts.withColumnRenamed("a", "b").withColumnRenamed("text", "tb"), "b")
+        asked = F.broadcast(asked)
+    found = docs.join(asked, docs["doc_id"] == asked["id"]).select("a", "b", "ca", "cb", "side", "text")
+    dealt = found.repartition("a", "b").sortWithinPartitions("a", "b", "ca", "cb", "side")
 
     def run(batches):
+        key, first, done = None, [], False
         for whole in batches:
-            for batch in slices(whole, 64):
-                a, b, ca, cb, ta, tb = (batch.column(i).to_pylist() for i in range(6))
-                sets = list(shingle_sets([t or "" for pair in zip(ta, tb, strict=True) for t in pair]))
-                ok = [signature(x)[1] == i and signature(y)[1] == j and linked(x, y) for x, y, i, j in zip(sets[::2], sets[1::2], ca, cb, strict=True)]
-                yield from pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).filter(pa.array(ok, pa.bool_())).to_batches()
-
-    return both.select("a", "b", "ca", "cb", "ta", "tb").mapInArrow(run, "a long, b long")
+            out = []
+            for batch in slices(whole, 128):
+                a, b, ca, cb, side, text = (batch.column(i).to_pylist() for i in range(6))
+                for row in zip(a, b, ca, cb, side, shingle_sets([t or "" for t in text]), strict=True):
+                    if row[:4] != key:
+                        key, first, done = row[:4], [], False
+                    if done or signature(row[5])[1] != row[2 + row[4]]:
+                        continue
+                    if row[4] == 0:
+                        first = first or [row[5]]
+                    elif first and linked(first[0], row[5]):
+                        out.append(row[:2])
+                        done = True
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -344,7 +359,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = cut(_verified(cut(_leader_pairs(shared, classes)), docs))
     release(spark)
     groups = components(links, rounds=3)  # what is known so far; the rest follows below
-    more = cut(_group_pairs(shared, classes, cut(groups), max(buckets, shuffle_partitions(spark))))
+    more = cut(_group_pairs(shared, classes, cut(groups)))
     release(spark)
     if not more.isEmpty():
         links = links.union(cut(_verified(more, docs)))
