@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id) for each end of the edges a, b.
 
     In each round every vertex takes the neighbour, or itself, that comes first in an order drawn for the round; edges then join what their
     ends took. A round leaves a fraction of the vertices, so there are few rounds, whatever the shape of the graph. Nothing but the number
-    of edges left reaches the driver. After ``rounds`` rounds the parts known by then are given: connected, but perhaps not whole components.
+    of edges left reaches the driver.
     """
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id"))
     turn = 0
-    while turn != rounds and not left.isEmpty():
-        ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e")).select("e.a", "e.b")
-        took = cut(ends.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("to")))
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba")])).alias("e")).select("e.a", "e.b")
+        best = ends.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("to"))
+        own = F.xxhash64("a", F.lit(turn)) < F.xxhash64("to", F.lit(turn))
+        took = cut(best.select("a", F.when(own, F.col("a")).otherwise(F.col("to")).alias("to")))
         # Looked up when all rounds are over: a vertex that a round doesn't know keeps its label.
         labels = labels.join(took, labels["label"] == took["a"], "left").select("id", F.coalesce("to", "label").alias("label"))
         x = left.join(took.select("a", F.col("to").alias("x")), "a").join(took.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")

@@ -358,13 +358,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")))
     links = cut(_verified(cut(_leader_pairs(shared, classes)), docs))
     release(spark)
-    groups = components(links, rounds=3)  # what is known so far; the rest follows below
-    more = cut(_group_pairs(shared, classes, cut(groups)))
+    groups = cut(components(links))
+    more = cut(_group_pairs(shared, classes, groups))
     release(spark)
-    if not more.isEmpty():
-        links = links.union(cut(_verified(more, docs)))
-    groups = components(links)
+    known = classes.select("sig_a", "sig_b", "rep").join(groups, F.col("rep") == F.col("id"), "left").select("sig_a", "sig_b", F.coalesce("component", "rep").alias("component"))
+    if not more.isEmpty():  # links of different groups join those: the rest is a graph of groups
+        ends = _verified(more, docs)
+        for end in ("a", "b"):
+            ends = ends.join(groups.select(F.col("id").alias(end), F.col("component").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        joined = components(ends).select(F.col("id").alias("component"), F.col("component").alias("smallest"))
+        known = known.join(joined, "component", "left").select("sig_a", "sig_b", F.coalesce("smallest", "component").alias("component"))
+    known = cut(known)
     release(spark)
-    known = cut(classes.select("sig_a", "sig_b", "rep").join(groups, F.col("rep") == F.col("id"), "left").select("sig_a", "sig_b", F.coalesce("component", "rep").alias("component")))
     out = sets.join(known, ["sig_a", "sig_b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
