@@ -39,8 +39,8 @@ PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\
 SSN = _EDGE + r"\d{3}-\d{2}-\d{4}" + _STOP
 NUMBER = _EDGE + r"\d(?:[ -]?\d){8,18}" + _STOP
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-#: All entities; where several begin at one place, the first named wins.
-ENTITY = "|".join((EMAIL, IP, IBAN, SECRET, SSN, PHONE, NUMBER, NAME))
+#: All entities; where several begin at one place, the first named wins. What a place begins with tells which of them can begin there.
+ENTITY = rf"{EMAIL}|(?=[0-9+(])(?:{IP}|{SECRET}|{SSN}|{PHONE}|{NUMBER})|(?=[A-Z]){IBAN}|(?=[a-gsA-F])(?:{SECRET})|(?=\p{{Lu}}){NAME}"
 #: A text without one of these holds no entity. Few letters begin a title, so most places of a text are passed after one look.
 HINT = rf"[0-9@]|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}"
 
@@ -153,14 +153,23 @@ def surrogate(value: Column, turn: Column, key: str) -> Column:
     return let(seed, made)
 
 
-def entity_table(docs: DataFrame, key: str, derive=surrogate) -> DataFrame:
-    """value, surrogate for each distinct entity of all texts.
+def find_entities(docs: DataFrame) -> DataFrame:
+    """k1, k2, place, value: the entities of each different text, which two hashes stand for, in order from place 0."""
+    found = docs.where(F.col("text").rlike(HINT)).select(*_text_keys(), F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY), 0)).alias("place", "value"))
+    return found.distinct()
+
+
+def _text_keys() -> list[Column]:
+    return [F.xxhash64("text").alias("_k1"), F.xxhash64("text", F.lit(1)).alias("_k2")]
+
+
+def surrogate_table(entities: DataFrame, key: str, derive=surrogate) -> DataFrame:
+    """value, surrogate for each distinct value of ``find_entities``.
 
     A surrogate that two values share stays with the smaller one; that value's rivals, and values whose surrogate is itself an entity of the texts,
     take another turn, until none is left. ``derive(value, turn, key)`` makes the surrogates.
     """
-    found = docs.where(F.col("text").rlike(HINT)).select(F.explode(F.regexp_extract_all("text", F.lit(ENTITY), 0)).alias("value")).distinct()
-    table = cut(found.withColumn("turn", F.lit(0)).withColumn("surrogate", derive(F.col("value"), F.col("turn"), key)))
+    table = cut(entities.select("value").distinct().withColumn("turn", F.lit(0)).withColumn("surrogate", derive(F.col("value"), F.col("turn"), key)))
     values = table.select(F.col("value").alias("taken"))
     while True:
         holder = table.groupBy("surrogate").agg(F.min("value").alias("holder"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -174,21 +183,24 @@ def entity_table(docs: DataFrame, key: str, derive=surrogate) -> DataFrame:
         table = cut(judged.where("not clash").select("value", "turn", "surrogate").union(again))
 
 
+def entity_table(docs: DataFrame, key: str, derive=surrogate) -> DataFrame:
+    """value, surrogate for each distinct entity of all texts; see ``surrogate_table``."""
+    return surrogate_table(find_entities(docs), key, derive)
+
+
 def replace_entities(docs: DataFrame, key: str = "tidemark", keep: tuple[str, ...] = ("doc_id",), derive=surrogate) -> DataFrame:
     """The columns of ``keep``, text with surrogates, and n_entities for each row of ``docs``.
 
     Texts without entities come through unchanged, null texts as null with no entities. Rows of equal text share one set of replacements,
     whatever their ids, which may be null or repeated.
     """
-    table = entity_table(docs, key, derive)
+    entities = cut(find_entities(docs))
+    table = surrogate_table(entities, key, derive)
+    made = entities.join(table, "value").groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("_made"))
     base = docs.select(*keep, "text")
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     plain = base.where(~hinted).withColumn("n_entities", F.lit(0))
-    own = base.where(hinted).withColumn("_found", F.regexp_extract_all("text", F.lit(ENTITY), 0))
-    own = own.withColumn("_k1", F.xxhash64("text")).withColumn("_k2", F.xxhash64("text", F.lit(1)))
-    each = own.select("_k1", "_k2", F.posexplode("_found").alias("place", "value")).distinct().join(table, "value")
-    made = each.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("_made"))
     parts = F.transform(F.split("text", ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_made.surrogate"), i), F.lit(""))))
     text = F.when(F.col("_made").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
-    changed = own.join(made, ["_k1", "_k2"], "left").select(*keep, text.alias("text"), F.size("_found").alias("n_entities"))
-    return plain.unionByName(changed)
+    changed = base.where(hinted).select("*", *_text_keys()).join(made, ["_k1", "_k2"], "left")
+    return plain.unionByName(changed.select(*keep, text.alias("text"), F.coalesce(F.size("_made"), F.lit(0)).alias("n_entities")))
