@@ -49,6 +49,30 @@ def test_interaction_is_learned():
     assert np.allclose(u, brute)
 
 
+def test_fit_keeps_terms_that_matter_only_in_pairs(spark, make_docs):
+    """Each of two words stands equally often in toxic and clean texts, together only in toxic ones."""
+    random = np.random.default_rng(5)
+    texts, label = [], []
+    for _ in range(3000):
+        toxic, at = random.random() < 0.3, random.random()
+        pair = ["ab", "cd"] if toxic and at < 0.12 else [] if toxic else ["ab"] * (at < 0.12) + ["cd"] * (0.12 <= at < 0.24)
+        texts.append(" ".join(pair + [f"n{i}" for i in random.choice(60, 8, replace=False)]))
+        label.append(int(toxic))
+    model = toxicity_fm.fit([np.unique([toxicity_fm.bucket(x) for x in toxicity_fm.terms(t)]) for t in texts], np.array(label))
+    rest = " n1 n2 n3 n4 n5 n6 n7 n8"
+    got = {r["doc_id"]: r["predicted"] for r in toxicity_fm.score(make_docs([(1, "ab cd" + rest), (2, "ab" + rest), (3, "cd" + rest)]), model).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
+
+
+def test_fit_keeps_frequent_and_many_terms():
+    """A word of a third of the texts tells them; some 11,000 others don't."""
+    random = np.random.default_rng(7)
+    label = np.arange(900) % 3 == 0
+    texts = [np.unique(np.concatenate([random.choice(np.arange(100, 11_600), 250, replace=False), [1] * int(y)])).astype(np.int64) for y in label]
+    model = toxicity_fm.fit(texts, label.astype(int))
+    assert model.weights[model.index()[1]] == model.weights.max() > 0 and len(model.buckets) > 10_000
+
+
 def test_beginnings_of_words_are_terms():
     assert {b"idiotic", b"idio*", b"idiot*"} <= toxicity_fm.terms("An IDIOTIC, text") and toxicity_fm.terms("") == set()
 

@@ -19,10 +19,10 @@ from tidemark.llm.labels import CUT, SAMPLE_ROWS, labelled_sample, quantile_thre
 FOLDS, HELD_OUT = 3, 1
 BUCKET_BITS = 24
 FACTORS = 4
-#: Buckets in the model at most, in how many of the fitted texts each stands at least, and in what share of them at most.
-TERMS, LEAST_TEXTS, MOST_TEXTS = 10_000, 12, 0.15
-#: Pressure towards few terms in the pass that chooses them, and towards small numbers in the machine.
-SPARSE, RIDGE = 2e-3, 1e-5
+#: In how many of the fitted texts each bucket of the model stands at least, and the share of them beyond which a bucket counts less.
+LEAST_TEXTS, COMMON_TEXTS = 12, 0.05
+#: Pressure towards few weights, and towards small factors. It acts while both are fitted: a bucket without a weight keeps its factors.
+SPARSE, RIDGE, STEPS = 2e-3, 1e-3, 100
 #: How much more a clean text counts than a toxic one when the threshold is placed.
 CARE = 1.5
 #: Bytes of the beginnings of words that are terms too: inflected forms share them.
@@ -71,18 +71,35 @@ def machine(rows: np.ndarray, starts: np.ndarray, bias: float, weights: np.ndarr
     return bias + linear + 0.5 * ((sums * sums).sum(1) - squares), sums
 
 
-def descend(rows, starts, label, share, terms: int, factors: int, steps: int, sparse: float, ridge: float, seed: int = 11):
+def descend(rows, starts, label, share, terms: int, factors: int, steps: int, sparse: float, ridge: float, seed: int = 11, scale: np.ndarray | None = None):
     """Bias, weights and factors that lower the weighted logistic loss, by accelerated proximal steps over all texts.
 
-    ``sparse`` drives the weights of terms that hardly lower the loss to 0; ``ridge`` keeps weights and factors small.
+    ``sparse`` drives the weights of terms that hardly lower the loss to 0; ``ridge`` keeps factors small. A term of a ``scale`` below 1 pays
+    more of both for the same effect.
     """
     n = len(starts) - 1
-    order = np.repeat(np.arange(n), np.diff(starts))
-    w, v, b = np.zeros(terms), np.random.default_rng(seed).normal(0, 0.05, (terms, factors)), 0.0
+    scale = np.ones(terms) if scale is None else scale
+    rows = rows.astype(np.int32)
+    order = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))[np.argsort(rows, kind="stable")]
+    full, count = np.flatnonzero(np.diff(starts)), np.bincount(rows, minlength=terms)
+    used = np.flatnonzero(count)
+    text_at, term_at = starts[:-1][full], (np.cumsum(count) - count)[used]
+
+    def by_text(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[full] = np.add.reduceat(x.astype(np.float32)[rows], text_at)
+        return out
+
+    def by_term(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(terms)
+        out[used] = np.add.reduceat(x.astype(np.float32)[order], term_at)
+        return out
+
+    w, v, b = np.zeros(terms), np.random.default_rng(seed).normal(0, 0.02, (terms, factors)), 0.0
     # The largest curvature of the linear part gives the step that is safe.
     x, top = np.ones(terms), 1.0
     for _ in range(8):
-        x = np.bincount(rows, (np.bincount(order, x[rows], n) * share)[order], terms)
+        x = scale * by_term(by_text(scale * x) * share)
         top = float(np.linalg.norm(x)) or 1.0
         x /= top
     rate = 4 / (1 + top)
@@ -92,17 +109,18 @@ def descend(rows, starts, label, share, terms: int, factors: int, steps: int, sp
         push = (momentum - 1) / faster
         lw, lv, momentum = w + push * (w - ow), v + push * (v - ov), faster
         ow, ov = w, v
-        u, sums = machine(rows, starts, b, lw, lv)
+        sv = scale[:, None] * lv
+        sums = [by_text(sv[:, k]) for k in range(factors)]
+        u = b + by_text(scale * lw) + 0.5 * (sum(s * s for s in sums) - by_text((sv * sv).sum(1)))
         g = (sigmoid(u) - label) * share
-        each = g[order]
-        gw = np.bincount(rows, each, terms)
-        w = lw - rate * (gw + ridge * lw)
+        gw = by_term(g)
+        w = lw - rate * scale * gw
         w = np.sign(w) * np.maximum(np.abs(w) - rate * sparse, 0)
         if factors:
-            gv = np.stack([np.bincount(rows, each * sums[order, k], terms) for k in range(factors)], 1) - lv * gw[:, None] + ridge * lv
-            v = lv - 0.25 * rate * gv
+            gv = np.stack([by_term(g * s) for s in sums], 1) - sv * gw[:, None]
+            v = lv - 0.25 * rate * (scale[:, None] * gv + ridge * lv)
         b -= rate * g.sum()
-    return b, w, v
+    return b, scale * w, scale[:, None] * v
 
 
 def table_of(texts: list[np.ndarray], buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,25 +133,23 @@ def table_of(texts: list[np.ndarray], buckets: np.ndarray) -> tuple[np.ndarray,
 
 
 def fit(texts: list[np.ndarray], label: np.ndarray, factors: int = FACTORS) -> FactorModel:
-    """Logistic loss, both classes weighing the same. A sparse linear pass chooses terms; the machine is then fitted over those.
+    """Logistic loss, both classes weighing the same. Weights and factors of all terms of enough texts are fitted together.
 
+    A term needs no weight of its own to be in the machine: it may matter only beside another. Terms of many texts count less, but stay.
     One text in five only serves to place the threshold.
     """
     if not len(texts) or label.min() == label.max():
         return FactorModel(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, factors)), 1.0)
     fitted = np.arange(len(texts)) % 5 != 4
-    share = np.where(label == 1, 0.5 / max(1, (label[fitted] == 1).sum()), 0.5 / max(1, (label[fitted] == 0).sum())) * fitted
+    share = np.where(label == 1, 0.5 / max(1, (label[fitted] == 1).sum()), 0.5 / max(1, (label[fitted] == 0).sum()))
     found, count = np.unique(np.concatenate(texts), return_counts=True)
-    keep = np.flatnonzero((count >= min(LEAST_TEXTS, max(2, len(texts) // 20))) & (count <= max(2, MOST_TEXTS * len(texts))))
-    buckets = found[np.sort(keep[np.argsort(-count[keep], kind="stable")[:TERMS]])]
-    rows, starts = table_of(texts, buckets)
-    _, w, _ = descend(rows, starts, label, share, len(buckets), 0, steps=50, sparse=SPARSE, ridge=0.0)
-    buckets = buckets[w != 0]
-    rows, starts = table_of(texts, buckets)
-    b, w, v = descend(rows, starts, label, share, len(buckets), factors, steps=300, sparse=0.0, ridge=RIDGE)
-    u, _ = machine(rows, starts, b, w, v)
-    rest = ~fitted if len(set(label[~fitted])) == 2 else np.ones(len(texts), bool)
-    _, threshold = quantile_threshold(u[rest], label[rest], CARE)
+    keep = count >= min(LEAST_TEXTS, max(2, len(texts) // 20))
+    buckets, scale = found[keep], np.sqrt(np.minimum(1, COMMON_TEXTS * len(texts) / count[keep]))
+    rows, starts = table_of([texts[i] for i in np.flatnonzero(fitted)], buckets)
+    b, w, v = descend(rows, starts, label[fitted], share[fitted], len(buckets), factors, STEPS, SPARSE, RIDGE, scale=scale)
+    rest = np.flatnonzero(~fitted if len(set(label[~fitted])) == 2 else np.ones(len(texts), bool))
+    u, _ = machine(*table_of([texts[i] for i in rest], buckets), b, w, v)
+    _, threshold = quantile_threshold(u, label[rest], CARE)
     return FactorModel(buckets, b, w, v, threshold)
 
 
