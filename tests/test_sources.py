@@ -1,4 +1,5 @@
-from datetime import datetime
+import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,14 @@ def test_series_json(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1), "a", 1.0), (datetime(2024, 1, 2), "a", None)], "time timestamp_ntz, host string, v double")
     got = series_json(df, "cpu", ("host",)).collect()[0]["series"]
     assert '"name":"cpu"' in got and '"tags":{"host":"a"}' in got and got.index("2024-01-01") < got.index("2024-01-02")
+
+
+def test_series_json_in_chunks(spark):
+    rows = [(NOW + timedelta(seconds=i * 7 % 1000), "a" if i % 10 else None, float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, host string, v double").repartition(5)
+    got = [json.loads(r["series"]) for r in series_json(df, "cpu", ("host",), points=64).collect()]
+    assert max(len(c["values"]) for c in got) <= 64 and len(got) >= 16 and len({c["chunk"] for c in got if c["tags"].get("host")}) >= 15
+    for host in ("a", None):
+        mine = sorted((c for c in got if c["tags"].get("host") == host), key=lambda c: c["chunk"])
+        found = [(v["time"], v["v"]) for c in mine for v in c["values"]]
+        assert found == sorted((t.isoformat(timespec="microseconds") + "Z", v) for t, h, v in rows if h == host)

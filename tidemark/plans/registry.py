@@ -345,7 +345,7 @@ def line_heads(s, d):
 def series_values(s, d):
     out = series_json(Query(events(s, d)).run().withColumnRenamed("ts", "time"), "events", ("event_type",))
     parsed = F.from_json("series", "struct<tags:map<string,string>,values:array<struct<time:string,value:double>>>")
-    return out.select(parsed.alias("p")).select(F.col("p.tags")["event_type"].alias("event_type"), F.size("p.values").cast("bigint").alias("n"))
+    return out.select(parsed.alias("p")).groupBy(F.col("p.tags")["event_type"].alias("event_type")).agg(F.sum(F.size("p.values")).alias("n"))
 
 
 @register("SELECT o_orderkey, 'changed' AS state FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0 UNION ALL SELECT o_orderkey, 'only_a' FROM orders WHERE o_orderkey % 89 = 0")

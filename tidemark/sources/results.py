@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def series_json(df: DataFrame, name: str, tags: tuple[str, ...], time: str = "time") -> DataFrame:
-    """One row for each series, as ``series``: ``{"name", "tags", "columns", "values"}``, times in RFC 3339, values by time.
+def series_json(df: DataFrame, name: str, tags: tuple[str, ...], time: str = "time", points: int = 8192) -> DataFrame:
+    """One row for each chunk of a series, as ``series``: ``{"name", "tags", "columns", "chunk", "values"}``, times in RFC 3339, values by time.
 
-    The values of a series are one cell, so this is for results of a size that a reader takes whole, not for exports.
+    A chunk has at most ``points`` points; the chunks of a series in order of their numbers, which have gaps, give its points by time. Rows are
+    dealt by ranges of tags and time, so neither a cell nor a task grows with the series.
     """
     columns = [time, *[c for c in df.columns if c not in (*tags, time)]]
     cells = [F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias(time), *[F.col(c) for c in columns[1:]]]
-    rows = df.groupBy(*tags).agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("values"))
+    dealt = df.repartitionByRange(*tags, *columns).sortWithinPartitions(*tags, *columns)
+    rows = dealt.withColumn("_chunk", F.expr(f"monotonically_increasing_id() div {int(points)}")).groupBy(*tags, "_chunk").agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("values"))
     tag_map = F.create_map(*[x for t in tags for x in (F.lit(t), F.col(t).cast("string"))]) if tags else F.create_map().cast("map<string,string>")
-    body = F.struct(F.lit(name).alias("name"), tag_map.alias("tags"), F.array(*map(F.lit, columns)).alias("columns"), "values")
+    body = F.struct(F.lit(name).alias("name"), tag_map.alias("tags"), F.array(*map(F.lit, columns)).alias("columns"), F.col("_chunk").alias("chunk"), "values")
     return rows.select(F.to_json(body).alias("series"))
