@@ -56,6 +56,16 @@ def test_collisions_are_resolved(make_docs):
         assert len(set(a)) == 1 and len(a) == r["n_entities"]
 
 
+def test_secrets_without_digits(make_docs):
+    """Texts of no digit, @ or title: the secret alone must be seen."""
+    secrets = ["sk-" + "abCdEfGhIj" * 2, "gho_" + "kLmnO" * 6, "AKIA" + "QRSTUVWX" * 2, "abcdef" * 6, "ABCDEF" * 6]
+    docs = make_docs([(i, f"the key is {x}, keep it") for i, x in enumerate(secrets)] + [(9, "task-" + "z" * 40)])
+    assert docs.where(F.col("text").rlike(s.ENTITY) & ~F.col("text").rlike(s.HINT)).count() == 0
+    got = {r["doc_id"]: r for r in s.replace_entities(docs).collect()}
+    assert [got[i]["n_entities"] for i in (0, 1, 2, 3, 4, 9)] == [1, 1, 1, 1, 1, 0]
+    assert all(x not in got[i]["text"] for i, x in enumerate(secrets))
+
+
 def test_odd_texts(odd, none):
     rows = s.replace_entities(odd, keep=("doc_id", "lang")).collect()
     assert sorted((r["doc_id"] or 0, str(r["text"])) for r in rows) == sorted((i or 0, str(t)) for i, t in ODD)

@@ -41,8 +41,12 @@ NUMBER = _EDGE + r"\d(?:[ -]?\d){8,18}" + _STOP
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 #: All entities; where several begin at one place, the first named wins. What a place begins with tells which of them can begin there.
 ENTITY = rf"{EMAIL}|(?=[0-9+(])(?:{IP}|{SECRET}|{SSN}|{PHONE}|{NUMBER})|(?=[A-Z]){IBAN}|(?=[a-gsA-F])(?:{SECRET})|(?=\p{{Lu}}){NAME}"
-#: A text without one of these holds no entity. Few letters begin a title, so most places of a text are passed after one look.
-HINT = rf"[0-9@]|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}"
+#: A text without one of these holds no entity: digits and @, secrets without digits, titles. Few letters begin a title or a secret, so most
+#: places of a text are passed after one look.
+HINT = (
+    rf"[0-9@]|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}"
+    rf"|(?=[a-gsA-F]){_EDGE}(?:sk-[A-Za-z]{{20}}|gh[oprsu]_[A-Za-z]{{30}}|AKIA[A-Z]{{16}}|[a-f]{{32}}|[A-F]{{32}})"
+)
 
 
 def kind(value: Column) -> Column:
