@@ -48,14 +48,49 @@ def test_key_decides(make_docs):
 def test_collisions_are_resolved(make_docs):
     """Surrogates from a tiny set, in which one is itself an entity of the texts, still come out distinct and new."""
     docs = make_docs([(i, f"x 1.1.1.{i} y 1.1.1.{i}") for i in range(12)] + [(50, "9.9.9.3")])
-    few = lambda v, turn, key: F.concat(F.lit("9.9.9."), (F.pmod(F.xxhash64(v), F.lit(4)) + turn * 3).cast("string"))
-    table = {r["value"]: r["surrogate"] for r in s.entity_table(docs, "k", few).collect()}
+    few = lambda kind, part, gender, turn, key: F.concat(F.lit("9.9.9."), (F.pmod(F.xxhash64(part), F.lit(4)) + turn * 3).cast("string"))
+    table = {r["value"]: r["surrogate"] for r in s.entity_table(s.find_entities(docs).select("value").distinct(), "k", few).collect()}
     assert len(table) == 13 and len(set(table.values())) == 13 and not set(table) & set(table.values())
     for r in s.replace_entities(docs, "k", derive=few).collect():
         a = re.findall(r"9\.9\.9\.\d+", r["text"])
         assert len(set(a)) == 1 and len(a) == r["n_entities"]
 
 
+def test_used_up_formats_end(spark):
+    """All addresses of one-digit octets, and all names of one letter, are taken by the texts: surrogates of another format are found."""
+    ips = spark.range(9**4).selectExpr("'ip' AS kind", "concat_ws('.', id % 9 + 1, floor(id / 9) % 9 + 1, floor(id / 81) % 9 + 1, floor(id / 729) % 9 + 1) AS part", "'n' AS gender")
+    local = spark.range(26).selectExpr("'local' AS kind", "chr(97 + id) AS part", "'n' AS gender")
+    rows = s.surrogate_table(ips.union(local), "k").collect()
+    made = {(r["kind"], r["surrogate"]) for r in rows}
+    assert len(rows) == len(made) == 9**4 + 26 and not made & {(r["kind"], r["part"]) for r in rows}
+
+
+def test_coreference(make_docs):
+    """Other spellings of an entity get the same surrogate, written like them; bare mentions of a titled name follow it; a plain reading agrees."""
+    docs = make_docs([
+        (1, "+49 30 1234567 +49-30-1234567 +49301234567 | 4111 1111 1111 1111 4111-1111-1111-1111 4111111111111111 | 123-45-6789 123456789"),
+        (2, "Mr. John Smith, Smith's John; Dr. John Smith and Mrs. Eva Smith, but not Smithson. Mr. Smith"),
+        (3, "John Smith without a title; jane@a.org JANE@A.org jane@b.org"),
+    ])
+    got = {r["doc_id"]: r["text"] for r in s.replace_entities(docs).collect()}
+    phones, cards, numbers = got[1].split(" | ")
+    bare = lambda x: re.sub(r"[ -]", "", x)
+    assert re.fullmatch(r"\+49 (\d\d) (\d{7}) \+49-\1-\2 \+49\1\2", phones) and len({bare(cards)[i : i + 16] for i in (0, 16, 32)}) == 1
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4} \d{9}", numbers) and numbers.split()[0].replace("-", "") == numbers.split()[1]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+), \2's \1; Dr\. \1 \2 and Mrs\. (\w+) \2, but not Smithson\. Mr\. \2", got[2])
+    assert m and m[1].endswith(s.ENDINGS["latin", "m"]) and m[3].endswith(s.ENDINGS["latin", "f"])
+    assert "John Smith" in got[3] and re.search(r"; ([a-z]{4})@([a-z])\.org ([A-Z]{4})@[A-Z]\.org \1@([a-z])\.org$", got[3])
+    values = {r["value"]: r["surrogate"] for r in s.entity_table(s.find_entities(docs).select("value").distinct(), "tidemark").collect()}
+    for i, text in docs.select("doc_id", "text").collect():  # a plain reading: entities one by one, from the left
+        plain = re.sub("|".join(sorted(map(re.escape, values), key=len, reverse=True)), lambda m: values[m[0]], text)
+        assert plain == got[i] or i == 2
+
+
+@pytest.mark.parametrize("text,n", [("x@" + "a." * 100_000, 0), ("x@" + "aa." * 100_000, 1), ("a" * 10**6, 0), ("@" * 10**6, 0), ("1" * 10**6, 0), ("sk-" * 300_000, 0), ("gho_" * 250_000, 0), ("f" * 10**6, 0), ("+1 " * 300_000, 0), ("A" * 10**6, 0), ("1." * 500_000, 0), ("Mr. " + "A" + "a" * 10**6, 1)])
+def test_very_long_texts(make_docs, text, n):
+    assert [r["n_entities"] for r in s.replace_entities(make_docs([(1, text)])).select("n_entities").collect()] == [n]
+
+
 def test_secrets_without_digits(make_docs):
     """Texts of no digit, @ or title: the secret alone must be seen."""
     secrets = ["sk-" + "abCdEfGhIj" * 2, "gho_" + "kLmnO" * 6, "AKIA" + "QRSTUVWX" * 2, "abcdef" * 6, "ABCDEF" * 6]
