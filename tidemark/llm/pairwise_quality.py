@@ -43,6 +43,9 @@ def features(text: str) -> list[float]:
     ]
 
 
+FEATURES = len(features(""))
+
+
 def expand(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     x = np.clip((rows - mean) / scale, -4, 4)
     return np.hstack([x, x * x])
@@ -87,7 +90,7 @@ def fit(rows: np.ndarray, label: np.ndarray, opponents: int = OPPONENTS, seed: i
     if len(good) and len(bad):
         n = max(len(good), len(bad)) * opponents
         better, worse = random.permutation(np.resize(good, n)), random.permutation(np.resize(bad, n))
-        weights = fit_pairs(x[better[: 100_000]], x[worse[: 100_000]])
+        weights = fit_pairs(x[better], x[worse])
     else:
         weights = np.zeros(x.shape[1])
     quantile, threshold = quantile_threshold(x @ weights, label)
@@ -98,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
     """Fits on a sample of at most about ``rows`` labelled documents outside the held-out fold; only their features reach the driver."""
     sample = labelled_sample(docs, labels, column, folds, held_out, rows)
     got = map_texts(sample, lambda: lambda texts: [(list(map(float, features(t))),) for t in texts], "features array<double>", ("doc_id", "label")).select("label", "features").toPandas()
-    return fit(np.array(got["features"].tolist(), dtype=float).reshape(len(got), -1), got["label"].to_numpy(dtype=int))
+    return fit(np.array(got["features"].tolist(), dtype=float).reshape(len(got), FEATURES), got["label"].to_numpy(dtype=int))
 
 
 def score(docs: DataFrame, model: PairwiseModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -119,8 +122,9 @@ def score(docs: DataFrame, model: PairwiseModel, keep: tuple[str, ...] = ("doc_i
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
-    Without labelled rows of both kinds all documents score alike and are kept. Null ids are never held out; repeated rows are scored
-    once each; a label or a score never depends on other columns.
+    Without labelled rows of both kinds all documents score alike and are kept. Null and empty texts are scored as empty, texts of any
+    length whole. Null ids are never held out; repeated rows are scored once each; a label or a score never depends on other columns. No
+    rows give no rows.
     """
     model = train(docs, labels)
     return score(docs, model).select("doc_id", F.coalesce(crc32_fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
