@@ -64,6 +64,24 @@ def test_fit_keeps_terms_that_matter_only_in_pairs(spark, make_docs):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_factors_help_on_held_out_labels():
+    """Ranks held-out documents of sf0.1 better with factors than without, and finds more of the toxic ones."""
+    import pyarrow.parquet as pq
+
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{x}.parquet").to_pydict() for x in ("documents", "labels"))
+    texts = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    rows = [(np.unique([toxicity_fm.bucket(x) for x in toxicity_fm.terms(texts[i] or "")]).astype(np.int64), y, zlib.crc32(str(i).encode()) % 3 == 1) for i, y in zip(labels["doc_id"], labels["toxic"], strict=True) if i in texts]
+    held, y = [x for x, _, h in rows if h], np.array([y for _, y, h in rows if h])
+    auc, recall = [], []
+    for factors in (0, toxicity_fm.FACTORS):
+        m = toxicity_fm.fit([x for x, _, h in rows if not h], np.array([y for _, y, h in rows if not h]), factors)
+        u, _ = toxicity_fm.machine(*toxicity_fm.table_of(held, m.buckets), m.bias, m.weights, m.factors)
+        auc.append((u[y == 1][:, None] > u[y == 0]).mean())
+        recall.append((u[y == 1] >= m.threshold).mean())
+    assert auc[1] > auc[0] > 0.98 and recall[1] >= recall[0] > 0.85
+
+
 def test_fit_keeps_frequent_and_many_terms():
     """A word of a third of the texts tells them; some 11,000 others don't."""
     random = np.random.default_rng(7)
@@ -85,7 +103,7 @@ def test_held_out_labels(spark, module, column, folds, held, least):
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values())
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % folds == held) for i, r in got.items())
     rest = [(got[r["doc_id"]]["predicted"], r[column]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
-    assert np.mean([a == b for a, b in rest]) >= least
+    assert np.mean([a == b for a, b in rest]) >= max(least, np.mean([b == 0 for _, b in rest]) + 0.02, np.mean([b == 1 for _, b in rest]) + 0.02)
 
 
 @pytest.mark.parametrize("module,kept", [(pairwise_quality, 1), (toxicity_fm, 0)])
