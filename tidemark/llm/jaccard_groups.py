@@ -2,9 +2,10 @@
 
 Documents with equal sets are one class. A set's tokens are ordered alike everywhere, frequent ones last, and only the first ones enter the
 matrix: two sets that are similar enough share some of those. Classes that prove similar to a leader they share tokens with form groups. The
-matrix then holds, for each token, the groups whose union has it; tokens that stand in just the same sets are one row with a weight. Where a token stands in one group only, no query overlaps another group;
-elsewhere, bounds from sizes, parity maps and the number of shared tokens tell which members are worth opening, and those are compared
-set by set. Bounds never lose a pair: they follow from the threshold alone.
+matrix then holds, for each token, the groups whose union has it; tokens that stand in just the same sets are one row with a weight. Where a
+token stands in one group only, no query overlaps another group. Elsewhere sizes and parity maps tell which members could be alike; what a
+query shares with the union of a group's members is counted before they are opened, and of a group that passes each member's own overlap.
+Pairs that are left are compared set by set. Bounds never lose a pair: they follow from the threshold alone.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ _U = np.uint64
 #: Counters of the frequency sketch, and slices that it is summed in: its size doesn't depend on the input.
 COUNTERS, SLICES = 1 << 22, 256
 #: Matrix entries that one task sorts, and members of a token's group that one task compares with each other.
-ENTRIES, BLOCK = 1_200_000, 1500
+ENTRIES, BLOCK = 600_000, 1500
 #: Matrix entries of opened groups that one task compares.
 OPENED = 100_000
 LEADERS = 3
+#: Partners of a hub that one task compares it with.
+PARTNERS = 64
 #: Wanted texts, two for each pair, whose ids are broadcast at most; beyond that many, all texts are dealt by id.
 WANTED = 1_000_000
 
@@ -247,7 +250,7 @@ def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame) -> Da
     part = F.ceil(F.col("m") / BLOCK).cast("int")
     open_ = cut(matrix.join(rows.select("token", "m"), "token"))
     buckets = max(24, -(-open_.count() // OPENED))
-    tokens = open_.groupBy("rep", "check").agg(F.collect_list("token").alias("tokens"), F.collect_list("w").alias("weights"))
+    tokens = open_.groupBy("rep", "check").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("t")).select("rep", "check", F.col("t.token").alias("tokens"), F.col("t.w").alias("weights"))
     lists = tokens.join(member.select("rep", "check", "parity"), ["rep", "check"])
     open_ = open_.withColumn("parts", part).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # Of a token with many sets, each pair of parts is one unit of work.
@@ -264,13 +267,15 @@ def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame) -> Da
         names = list(zip(own.column("rep").to_pylist(), own.column("check").to_pylist(), strict=True))
         index = {k: i for i, k in enumerate(names)}
         maps = np.frombuffer(b"".join(own.column("parity").to_pylist()), _U).reshape(len(names), -1)
-        lists, weights = own.column("tokens"), own.column("weights")
-        known: dict[int, dict[int, int]] = {}
+        lists, weights = own.column("tokens").combine_chunks(), own.column("weights").combine_chunks()
+        start = lists.offsets.to_numpy()
+        listed_tokens, listed_weights = lists.values.to_numpy(), weights.values.to_numpy()
 
-        def tokens_of(i: int) -> dict[int, int]:
-            if i not in known:
-                known[i] = dict(zip(lists[i].values.to_numpy().tolist(), weights[i].values.to_numpy().tolist(), strict=True))
-            return known[i]
+        def tokens_of(i: int) -> np.ndarray:
+            return listed_tokens[start[i] : start[i + 1]]
+
+        def overlap(i: int, other: np.ndarray) -> int:
+            return int(listed_weights[start[i] : start[i + 1]][np.isin(tokens_of(i), other, assume_unique=True)].sum())
 
         table = table.take(pa.array(np.lexsort([np.asarray(table.column(c).combine_chunks()) for c in ("part", "unit", "token")])))
         token, unit, part, n, grp = (np.asarray(table.column(c).combine_chunks()) for c in ("token", "unit", "part", "n", "grp"))
@@ -291,12 +296,23 @@ def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame) -> Da
         order = np.lexsort((at, met))
         met, at = met[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], np.diff(met) != 0])) if len(met) else np.zeros(0, np.int64)
+        i, j, at = met[first] // len(names), met[first] % len(names), at[first]
+        group = np.zeros(len(names), np.int64)
+        group[place] = grp
+        order = np.lexsort((j, group[j], i))
+        i, j, at = i[order], j[order], at[order]
+        edge = np.concatenate([[0], np.flatnonzero((np.diff(i) != 0) | (np.diff(group[j]) != 0)) + 1, [len(i)]]) if len(i) else np.zeros(1, np.int64)
         out = []
-        for i, j, t in zip((met[first] // len(names)).tolist(), (met[first] % len(names)).tolist(), at[first].tolist(), strict=True):
-            a, b = tokens_of(i), tokens_of(j)
-            shared_here = a.keys() & b.keys()
-            if t == min(shared_here) and sum([a[x] for x in shared_here]) >= needed(min(size[i], size[j])):
-                out.append((*names[i], *names[j]) if names[i] <= names[j] else (*names[j], *names[i]))
+        for begin, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            q, members = int(i[begin]), j[begin:end].tolist()
+            least = int(needed(min(size[q], size[members].min())))
+            # What the query shares with the union of these members bounds what it shares with each: if too little, none is opened.
+            if len(members) > 1 and overlap(q, np.unique(np.concatenate([tokens_of(m) for m in members]))) < least:
+                continue
+            for m, t in zip(members, at[begin:end].tolist(), strict=True):
+                shared_here = np.intersect1d(tokens_of(q), tokens_of(m), assume_unique=True)
+                if t == shared_here[0] and overlap(q, shared_here) >= needed(min(size[q], size[m])):
+                    out.append((*names[q], *names[m]) if names[q] <= names[m] else (*names[m], *names[q]))
         a, ca, b, cb = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table({k: pa.array(list(v), pa.int64()) for k, v in (("a", a), ("b", b), ("ca", ca), ("cb", cb))})
 
@@ -306,32 +322,41 @@ def _group_pairs(shared: DataFrame, classes: DataFrame, groups: DataFrame) -> Da
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose texts' sets are similar enough, set by set. ``pairs`` is a written table.
 
-    Each text goes to the pairs that want it, and a pair's two texts meet. If the pairs are few enough they are broadcast, so that other
-    texts stay where they are; else texts are dealt by id.
+    Of a pair, the end with more partners is its hub. A hub's partners are dealt in blocks, and its text goes to each block once, so that
+    texts move once a pair, and no hub's pairs are one task. If the texts asked for are few enough their ids are broadcast, so that other texts stay
+    where they are; else texts are dealt by id.
     """
-    asked = pairs.select("a", "b", "ca", "cb", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("id"), F.lit(1).alias("side")))).alias("e"))
-    asked = asked.select("e.id", "e.side", "a", "b", "ca", "cb")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("check")), F.struct(F.col("b").alias("id"), F.col("cb").alias("check")))).alias("e")).select("e.*")
+    degree = cut(ends.groupBy("id", "check").agg(F.count(F.lit(1)).alias("k")))
+    sides = pairs.join(degree.toDF("a", "ca", "ka"), ["a", "ca"]).join(degree.toDF("b", "cb", "kb"), ["b", "cb"])
+    first = F.col("ka") >= F.col("kb")
+    hub = F.when(first, F.struct("a", "ca", "ka")).otherwise(F.struct(F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("kb").alias("ka")))
+    other = F.when(first, F.struct(F.col("b").alias("id"), F.col("cb").alias("check"))).otherwise(F.struct(F.col("a").alias("id"), F.col("ca").alias("check")))
+    sides = sides.select(hub.alias("h"), other.alias("o")).withColumn("part", F.pmod(F.xxhash64("o.id", "o.check"), F.ceil(F.col("h.ka") / PARTNERS)))
+    asked = cut(sides.select("o.id", "o.check", F.col("h.a").alias("hub"), F.col("h.ca").alias("hub_check"), "part", F.lit(1).alias("side")))
+    asked = asked.unionByName(asked.select(F.col("hub").alias("id"), F.col("hub_check").alias("check"), "hub", "hub_check", "part", F.lit(0).alias("side")).distinct())
     if pairs.count() <= WANTED // 2:
         asked = F.broadcast(asked)
-    found = docs.join(asked, docs["doc_id"] == asked["id"]).select("a", "b", "ca", "cb", "side", "text")
-    dealt = found.repartition("a", "b").sortWithinPartitions("a", "b", "ca", "cb", "side")
+    found = docs.join(asked, docs["doc_id"] == asked["id"]).select("hub", "hub_check", "part", "side", "id", "check", "text")
+    dealt = found.repartition("hub", "hub_check", "part").sortWithinPartitions("hub", "hub_check", "part", "side", "id", "check")
 
     def run(batches):
-        key, first, done = None, [], False
+        key, base, last = None, None, None
         for whole in batches:
             out = []
             for batch in slices(whole, 128):
-                a, b, ca, cb, side, text = (batch.column(i).to_pylist() for i in range(6))
-                for row in zip(a, b, ca, cb, side, shingle_sets([t or "" for t in text]), strict=True):
-                    if row[:4] != key:
-                        key, first, done = row[:4], [], False
-                    if done or signature(row[5])[1] != row[2 + row[4]]:
-                        continue
-                    if row[4] == 0:
-                        first = first or [row[5]]
-                    elif first and linked(first[0], row[5]):
-                        out.append(row[:2])
-                        done = True
+                columns = [batch.column(i).to_pylist() for i in range(6)]
+                for *block, side, i, check, s in zip(*columns, shingle_sets([t or "" for t in batch.column(6).to_pylist()]), strict=True):
+                    if block != key:
+                        key, base, last = block, None, None
+                    if (base is not None if side == 0 else (base is None or (i, check) == last)) or signature(s)[1] != check:
+                        continue  # another text of the id, or a repeated row
+                    if side == 0:
+                        base = s
+                    else:
+                        last = (i, check)
+                        if linked(base, s):
+                            out.append((min(i, key[0]), max(i, key[0])))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -355,20 +380,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     release(spark)
     shared = cut(_rows_with_weights(shared))
     release(spark)
-    classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")))
+    classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count(F.lit(1)).alias("rows")))
     links = cut(_verified(cut(_leader_pairs(shared, classes)), docs))
     release(spark)
     groups = cut(components(links))
     more = cut(_group_pairs(shared, classes, groups))
     release(spark)
-    known = classes.select("sig_a", "sig_b", "rep").join(groups, F.col("rep") == F.col("id"), "left").select("sig_a", "sig_b", F.coalesce("component", "rep").alias("component"))
+    # A class of one row and no link needs no look-up: its component is that row's id.
+    known = classes.select("sig_a", "sig_b", "rep", "rows").join(groups, F.col("rep") == F.col("id"), "left")
+    known = known.select("sig_a", "sig_b", F.coalesce("component", "rep").alias("component"), ((F.col("rows") > 1) | F.col("component").isNotNull()).alias("some"))
     if not more.isEmpty():  # links of different groups join those: the rest is a graph of groups
         ends = _verified(more, docs)
         for end in ("a", "b"):
             ends = ends.join(groups.select(F.col("id").alias(end), F.col("component").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         joined = components(ends).select(F.col("id").alias("component"), F.col("component").alias("smallest"))
-        known = known.join(joined, "component", "left").select("sig_a", "sig_b", F.coalesce("smallest", "component").alias("component"))
-    known = cut(known)
+        known = known.join(joined, "component", "left").select("sig_a", "sig_b", F.coalesce("smallest", "component").alias("component"), (F.col("some") | F.col("smallest").isNotNull()).alias("some"))
+    known = cut(known.where("some").select("sig_a", "sig_b", "component"))
     release(spark)
     out = sets.join(known, ["sig_a", "sig_b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
