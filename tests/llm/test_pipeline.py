@@ -40,10 +40,25 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, p.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(str, docs.drop("sequence_id", "offset").collect()))
 
 
+CLASH = ["n_entities", "predicted", "score", "row", "rows", "label", "value", "component_id", "_made", "_kept", "text_2"]
+
+
 def test_repeated_and_odd_rows(spark, odd):
-    docs = odd.drop("bucket", "length")
+    docs = odd.select("*", *[F.lit(7).alias(c) for c in CLASH])
     kept = p.near_duplicates(spark, docs, SF)
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize("name,stage", p.STAGES[:2] + p.STAGES[3:])
+def test_odd_rows_of_other_stages(spark, odd, none, name, stage):
+    docs = odd.select("*", *[F.lit(7).alias(c) for c in CLASH])
+    rows = stage(spark, docs, SF)
+    if name == "best-fit packing":
+        assert len(packed_rows := rows.collect()) >= docs.count() and len({r["doc_id"] for r in packed_rows}) == 10
+    else:
+        assert rows.columns == docs.columns
+        assert all(r["predicted"] == 7 and r["n_entities"] == 7 for r in rows.collect())
+    assert stage(spark, none.select("*", *[F.lit(7).alias(c) for c in CLASH]), SF).count() == 0
 
 
 def test_all_are_registered():

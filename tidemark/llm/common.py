@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 #: Rows that a task turns into Python objects at a time.
 SLICE = 256
 
-_made: dict[str, list[str]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and all is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,17 +45,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared folder; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: computed once, and safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
+    path = shared_folder(spark, "cut")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referred to."""
+    """Lets Spark delete the shuffle files of plans that are no longer referred to: its cleaner waits for a collection of the driver's heap,
+
+    which otherwise comes too late for disks of a few times the input.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import pairwise_quality, toxicity_fm
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import shared_folder, table
 from tidemark.llm.compaction import shard_documents
 from tidemark.llm.fingerprints import fingerprint_documents
 from tidemark.llm.jaccard_groups import jaccard_components
@@ -57,7 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards/{uuid.uuid4().hex}")
+    return shard_documents(table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
 
 
 _ALL = (op1_pairwise_quality, op2_surrogates, op3_bottom_k, op4_toxicity_fm, op5_piece_codec, op6_token_groups, op7_best_two_fit, op8_lattice, op9_token_counts, op10_compaction)
