@@ -122,24 +122,66 @@ def test_shards(spark, tmp_path):
     for i in range(4):
         store.append(rows(spark, 100 * i, 100 * i + 100).coalesce(2), f"a{i}", rows=30)
     assert store.append(rows(spark, 0, 100), "a0").version == 4  # there already
-    before = store.manifest()
+    before = store.shards(store.manifest())
     after = store.compact()
-    assert after.version == 5 and len(after.shards) < len(before.shards) and after.arrivals == ("a0", "a1", "a2", "a3")
+    assert after.version == 5 and len(store.shards(after)) < len(before) and after.arrivals == ("a0", "a1", "a2", "a3")
     assert sorted(r["doc_id"] for r in store.snapshot().collect()) == list(range(400))
     assert store.snapshot(2).count() == 200  # older versions stay readable
     assert store.compact().version == 5  # nothing left to merge
-    assert store.vacuum() == len(before.shards) and store.snapshot().count() == 400 and store.vacuum() == 0
+    assert store.vacuum() == len(before) and store.snapshot().count() == 400 and store.vacuum() == 0
 
 
 def test_a_version_is_taken_once(spark, tmp_path):
     store = ShardStore(spark, str(tmp_path))
     store.append(rows(spark, 0, 10), "a")
     with pytest.raises(VersionTaken):
-        store._commit(Manifest(1, (), ()))
+        store._commit(Manifest(1, ()))
     assert store.snapshot().count() == 10 and store.version() == 1
 
 
+def test_the_later_writer_starts_again(spark, tmp_path, monkeypatch):
+    """Another writer commits between the reading and the committing of append and of compact: nothing is lost or there twice."""
+    store, other = (ShardStore(spark, str(tmp_path), Tiers(fewest=2)) for _ in range(2))
+    store.append(rows(spark, 0, 10), "a")
+    commit, turns = store._commit, iter(["b", None, "c"])
+
+    def late(new):
+        if x := next(turns, None):
+            other.append(rows(spark, 10 * ord(x) - 970, 10 * ord(x) - 960), x)
+        return commit(new)
+
+    monkeypatch.setattr(store, "_commit", late)
+    assert store.append(rows(spark, 50, 60), "d").version == 3
+    assert store.compact().version == 5 and sorted(store.manifest().arrivals) == ["a", "b", "c", "d"]
+    assert sorted(r["doc_id"] for r in store.snapshot().collect()) == [*range(30), *range(50, 60)]
+
+
+def test_columns_of_all_arrivals_stay(spark, tmp_path):
+    """Arrivals that differ in columns keep them through compaction and vacuum; a column of another type is refused before a write."""
+    store = ShardStore(spark, str(tmp_path), Tiers(fewest=2))
+    store.append(spark.range(5).selectExpr("id AS doc_id", "'x' AS one"), "a")
+    store.append(spark.range(5, 9).selectExpr("id AS doc_id", "2.5D AS two"), "b")
+    with pytest.raises(ValueError, match="one"):
+        store.append(spark.range(2).selectExpr("id AS doc_id", "1 AS one"), "c")
+    store.compact()
+    store.vacuum()
+    got = store.snapshot().drop("_shard")
+    assert got.columns == ["doc_id", "one", "two"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, "x", None) for i in range(5)] + [(i, None, 2.5) for i in range(5, 9)], key=str)
+
+
+def test_vacuum_takes_what_no_version_lists(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path))
+    store.append(rows(spark, 0, 10), "a")
+    store._write(rows(spark, 0, 5).coalesce(1), ("lost",))  # a writer that failed before its commit
+    store._put(f"{store.root}/manifests/draft-x", "{}")
+    assert store.vacuum() == 0  # it may still commit
+    assert store.vacuum(older_than=-10) == 1 and store.snapshot().count() == 10
+    assert not list((tmp_path / "manifests").glob("draft-*")) and len(list((tmp_path / "parts").glob("*.json"))) == 1
+
+
 def test_sharded_documents(odd, none, tmp_path):
     got = shard_documents(odd, str(tmp_path / "a")).collect()
     assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in got if r["n_bytes"] is not None) == sorted((i or 0, len(t.encode())) for i, t in ODD if t is not None)
+    assert len(got) == len(ODD) and len({r["version"] for r in got}) == 1 and got[0]["version"] >= 5
     assert shard_documents(none, str(tmp_path / "b")).count() == 0
