@@ -1,8 +1,8 @@
 """Token counts of a byte-level BPE by the whole-token shortcut.
 
 Offline, each string of the vocabulary is encoded alone; those that give just themselves make up the set of whole tokens. A text is cut
-into pre-tokens; one that is a whole token counts 1 with no merge, and only the rest is merged. A text's words repeat, so that the counts
-of short stretches between single blanks are remembered in a table of bounded size.
+into pre-tokens, in any script; one that is a whole token counts 1 with no merge, and only the rest is merged. A text's words repeat, so
+that the counts of short stretches between single blanks are remembered in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -48,12 +48,15 @@ class WholeTokenCounter:
         self.stretches = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
         self.merge = self.library.model.tokenize
-        self.whole = self.prove()
+        self.cut = self.library.pre_tokenizer.pre_tokenize_str
+        self.written = self.prove()
+        back = {c: b for b, c in enumerate(self.letters)}
+        self.whole = frozenset(bytes(back[c] for c in w).decode() for w in self.written)
         self.first = Remembered(lambda s: self.of_stretch(s))
         self.inner = Remembered(self._inner)
 
     def prove(self) -> frozenset[str]:
-        """The strings of the vocabulary that are one pre-token and encode alone as one token."""
+        """The strings of the vocabulary, as it writes them, that are one pre-token and encode alone as one token."""
         back = {c: b for b, c in enumerate(self.letters)}
         found = []
         for written, number in self.library.get_vocab(with_added_tokens=False).items():
@@ -61,15 +64,19 @@ class WholeTokenCounter:
                 text = bytes(back[c] for c in written).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if self.pieces(text) == [text] and [t.id for t in self.merge(written)] == [number]:
-                found.append(text)
+            if self.pieces(text) == [text] and len(self.cut(text)) == 1 and [t.id for t in self.merge(written)] == [number]:
+                found.append(written)
         return frozenset(found)
 
     def of_stretch(self, text: str) -> int:
         """Tokens of a text that holds no special token and that the split pattern may cut on both sides."""
-        if not text.isascii() and max(text) > "\u024f":  # letters whose class may differ between Unicode versions are left to the library
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        n, whole = 0, self.whole
+        n = 0
+        if not text.isascii() and max(text) > "\u024f":  # the class of a letter may differ between Unicode versions: the library's pre-tokens
+            written = self.written
+            for piece, _ in self.cut(text):
+                n += 1 if piece in written else len(self.merge(piece))
+            return n
+        whole = self.whole
         for piece in self.pieces(text):
             n += 1 if piece in whole else len(self.merge("".join(map(self.letters.__getitem__, piece.encode()))))
         return n
