@@ -53,6 +53,31 @@ def test_backtracking_agrees_with_merging():
         text = "".join(r.choice("aeinrst▁hlo") for _ in range(r.randint(1, 30)))
         if "▁▁" not in text:
             assert [c.order[x] for x in c._backtrack(text)] == c._merge(text)
+        blank = "▁" * r.randint(1, 40) + text.replace("▁", "")
+        assert [c.text[x] for x in c._encode(blank)] == c._merge(blank)
+
+
+SCRIPTS = ["Καλημέρα κόσμε, τι κάνεις;", "Привет, мир! Это — проверка.", "日本語のテキストと漢字、中文测试。", "한국어 문장입니다", "“quoted” – dash … ellipsis’s", "שלום עולם مرحبا", "नमस्ते दुनिया 😀👍🏽", "x   y    z" + " " * 70 + "end", "  \t  αβγ   \n   δ", "₯ ℤ ⁿ ½ ① Ⅻ \U0003fc00"]
+
+
+def test_methods_hold_for_every_script(monkeypatch):
+    """No text is handed to a library's encoder as a whole, and no run of blanks to merging."""
+    count, encode = counter(BYTES), codec(PIECES)
+    wanted = [(len(bytes_lib.encode(t, add_special_tokens=False).ids), pieces_lib.encode(t, add_eos=True), pieces_lib.decode(pieces_lib.encode(t, add_eos=True))) for t in SCRIPTS]
+
+    class Refuses:
+        def encode(self, *a, **k):
+            raise AssertionError("encoded by the library")
+
+    def refuses(*a, **k):
+        raise AssertionError("merged")
+
+    monkeypatch.setattr(count, "library", Refuses())
+    monkeypatch.setattr(encode, "_merge", refuses)
+    for table in (count.first, count.inner, encode.stretch, encode.stable):
+        table.clear()
+    for t, (n, ids, decoded) in zip(SCRIPTS, wanted, strict=True):
+        assert count(t) == n and encode(t) == (len(ids), " ".join(map(str, ids)), decoded)
 
 
 def test_queries_on_odd_texts(odd, none):

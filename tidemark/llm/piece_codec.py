@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton finds the longest vocabulary piece at each place. Pieces are laid from left to right; a piece may follow another
 only if merging their letters again would leave that boundary in place. If no piece can follow, the last one is taken back for a shorter
-one, and a bit for the place says that no encoding passes it. The result is what merging by score gives.
+one, and a bit for the place says that no encoding passes it. The result is what merging by score gives. Pieces of blanks alone share one
+score, below all others, and are merged from the left: a run of blanks is laid with its longest matches.
 
 Words repeat, so the encoding of stretches that no piece of the vocabulary can cross is remembered in a table of bounded size.
 """
@@ -41,7 +42,7 @@ class PieceCodec:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.number = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
-        normal = [p for p in self.number if p.strip(SPACE) or len(p) == 1]  # runs of blanks share one score; they are merged directly
+        normal = [p for p in self.number if p.strip(SPACE) or len(p) == 1]  # pieces of blanks alone have their own rule, see _blanks
         #: A piece's rank: single letters first, then by falling score, the order in which merges are made.
         order = sorted(normal, key=lambda p: (len(p) > 1, -self.score[p], self.number[p]))
         self.rank = {p: r for r, p in enumerate(order)}
@@ -60,6 +61,13 @@ class PieceCodec:
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.number)
         if not self.words_apart:
             raise ValueError("pieces of the model cross blanks")
+        self.blanks = sorted((p for p in self.number if not p.strip(SPACE)), key=len, reverse=True)
+        longest = len(self.blanks[0])
+        last = max((self.score[p] for p in self.blanks if len(p) > 1), default=-1e30)
+        if any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.number) or any(self.score[p] <= last for p in normal if len(p) > 1):
+            raise ValueError("blanks aren't merged after all else")
+        if any(self._blanks(n) != self._merge(SPACE * n) for n in range(1, 4 * longest)):  # it repeats after each longest piece
+            raise ValueError("blanks aren't merged from the left")
         self.pairs: dict[tuple[int, int], bool] = {}
         self.stretch = Remembered(self._stretch, 700_000)
         self.stable = Remembered(self._encode, 1 << 17)
@@ -112,6 +120,14 @@ class PieceCodec:
             offer(i)
         return [p for p in part if p is not None]
 
+    def _blanks(self, n: int) -> list[str]:
+        """A run of blanks: the longest pieces from the left."""
+        parts = []
+        for p in self.blanks:
+            parts += [p] * (n // len(p))
+            n %= len(p)
+        return parts
+
     def _may_follow(self, left: int, right: int) -> bool:
         """Whether merging the letters of two adjacent tokens again keeps them apart.
 
@@ -180,18 +196,21 @@ class PieceCodec:
 
     def _encode(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch. Letters that aren't in the vocabulary stand alone, as their bytes."""
-        if SPACE + SPACE in text:
-            parts = self._merge(text)
-        else:
-            parts, known, rank = [], 0, self.rank
-            for i, c in enumerate(text):
-                if c not in rank:
-                    if known < i:
-                        parts += [self.order[r] for r in self._backtrack(text[known:i])]
-                    parts.append(c)
-                    known = i + 1
-            if known < len(text):
-                parts += [self.order[r] for r in self._backtrack(text[known:])]
+        run = len(text) - len(text.lstrip(SPACE))
+        # Of several blanks the last one goes with the word if a merge takes it there, and else with the others.
+        parts, known, rank = [], 0, self.rank
+        if run > 1:
+            text = text[run - 1 :]
+        for i, c in enumerate(text):
+            if c not in rank:
+                if known < i:
+                    parts += [self.order[r] for r in self._backtrack(text[known:i])]
+                parts.append(c)
+                known = i + 1
+        if known < len(text):
+            parts += [self.order[r] for r in self._backtrack(text[known:])]
+        if run > 1:
+            parts = self._blanks(run) + parts[1:] if parts[0] == SPACE else self._blanks(run - 1) + parts
         ids: list[int] = []
         for p in parts:
             if (i := self.number.get(p)) is not None:
@@ -201,7 +220,7 @@ class PieceCodec:
         return tuple(ids)
 
     def _stretch(self, text: str) -> str:
-        """Ids as text of a stretch that no token crosses on either side; where they don't decode to the stretch itself, that is noted."""
+        """Ids as text of a stretch that no token crosses on either side. They are decoded; where that isn't the stretch itself, it is noted."""
         ids: list[int] = []
         begin = 0
         for i in range(1, len(text)):
@@ -258,7 +277,7 @@ def codec(path: str) -> PieceCodec:
 
 
 def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
-    """Encodes and decodes each whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids and decoded.
+    """Encodes each whole text, and decodes from the ids, a stretch at a time: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids and decoded.
 
     Null and empty texts are the end id alone, and decode to an empty text. Repeated rows and null ids are kept.
     """
