@@ -31,7 +31,8 @@ def value(kind: Column | str, f: Column | None = None, i: Column | None = None,
 def last_wins(entries: Column) -> Column:
     """A map of an array of (key, value); of equal keys the last counts."""
     later = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(later)
+    repeated = F.size(F.array_distinct(F.transform(entries, lambda e: e["key"]))) < F.size(entries)
+    return F.map_from_entries(F.when(repeated, later).otherwise(entries))
 
 
 def typed_text(text: Column) -> Column:
