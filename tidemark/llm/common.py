@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -69,6 +70,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system: of a long-lived worker or driver it would else stay reserved."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -101,6 +111,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]],
                 columns = [batch.column(i).cast(arrow.field(i).type) for i in range(n)]
                 columns += [pa.array(list(v), arrow.field(n + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        give_back()
 
     return kept.mapInArrow(run, out_schema)
 

@@ -100,8 +100,9 @@ def fit(rows: np.ndarray, label: np.ndarray, opponents: int = OPPONENTS, seed: i
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = SAMPLE_ROWS) -> PairwiseModel:
     """Fits on a sample of at most about ``rows`` labelled documents outside the held-out fold; only their features reach the driver."""
     sample = labelled_sample(docs, labels, column, folds, held_out, rows)
-    got = map_texts(sample, lambda: lambda texts: [(list(map(float, features(t))),) for t in texts], "features array<double>", ("doc_id", "label")).select("label", "features").toPandas()
-    return fit(np.array(got["features"].tolist(), dtype=float).reshape(len(got), FEATURES), got["label"].to_numpy(dtype=int))
+    got = map_texts(sample, lambda: lambda texts: [(list(map(float, features(t))),) for t in texts], "features array<double>", ("doc_id", "label")).select("label", "features").toArrow()
+    rows = np.array(got.column("features").to_pylist(), dtype=float).reshape(got.num_rows, FEATURES)
+    return fit(rows, np.array(got.column("label").to_pylist(), dtype=int))
 
 
 def score(docs: DataFrame, model: PairwiseModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

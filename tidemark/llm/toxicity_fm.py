@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc32_fold, map_texts
+from tidemark.llm.common import crc32_fold, give_back, map_texts
 from tidemark.llm.labels import CUT, SAMPLE_ROWS, labelled_sample, quantile_threshold, sigmoid, to_score
 
 FOLDS, HELD_OUT = 3, 1
@@ -64,9 +64,10 @@ def machine(rows: np.ndarray, starts: np.ndarray, bias: float, weights: np.ndarr
     full = np.flatnonzero(starts[1:] > starts[:-1])
     if len(full):
         at = starts[:-1][full]
-        v = factors[rows]
-        sums[full] = np.add.reduceat(v, at, axis=0)
-        squares[full] = np.add.reduceat((v * v).sum(1), at)
+        for k in range(factors.shape[1]):  # one column at a time, for the driver's memory
+            v = factors[:, k][rows]
+            sums[full, k] = np.add.reduceat(v, at)
+            squares[full] += np.add.reduceat(np.square(v, out=v), at)
         linear[full] = np.add.reduceat(weights[rows], at)
     return bias + linear + 0.5 * ((sums * sums).sum(1) - squares), sums
 
@@ -171,8 +172,8 @@ def table_of(texts: list[np.ndarray], buckets: np.ndarray) -> tuple[np.ndarray,
     rows = []
     for t in texts:
         at = np.minimum(np.searchsorted(buckets, t), len(buckets) - 1)
-        rows.append(at[buckets[at] == t] if len(buckets) else t[:0])
-    return np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        rows.append(at[buckets[at] == t].astype(np.int32) if len(buckets) else t[:0])
+    return np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
 
 
 def fit(texts: list[np.ndarray], label: np.ndarray, factors: int = FACTORS) -> FactorModel:
@@ -196,7 +197,7 @@ def fit(texts: list[np.ndarray], label: np.ndarray, factors: int = FACTORS) -> F
     def judge(v: np.ndarray) -> float:
         return float((share[rest] * np.logaddexp(0, -machine(*other, b, w, v)[0] * (2 * label[rest] - 1))).sum())
 
-    u, _ = machine(rows, starts, b, w, np.zeros((len(buckets), 1)))
+    u, _ = machine(rows, starts, b, w, np.zeros((len(buckets), 0)))
     v = residual_factors(rows, starts, label[fitted], share[fitted], u, len(buckets), factors, FACTOR_STEPS, RIDGE, scale, judge)
     u, _ = machine(*other, b, w, v)
     _, threshold = quantile_threshold(u, label[rest], CARE)
@@ -208,8 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     sample = labelled_sample(docs, labels, column, folds, held_out, rows)
     hashed = map_texts(sample, lambda: lambda texts: [([bucket(x) for x in terms(t)],) for t in texts], "terms array<int>", ("doc_id", "label"))
     got = hashed.select("label", "terms").toArrow()
-    texts = [np.unique(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) if len(x.values) else np.zeros(0, np.int64) for x in got.column("terms").combine_chunks()] if got.num_rows else []
-    return fit(texts, np.array(got.column("label").to_pylist(), dtype=int))
+    texts = [np.unique(x.values.to_numpy(zero_copy_only=False)) if len(x.values) else np.zeros(0, np.int32) for x in got.column("terms").combine_chunks()] if got.num_rows else []
+    label = np.array(got.column("label").to_pylist(), dtype=int)
+    del got
+    model = fit(texts, label)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: FactorModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
