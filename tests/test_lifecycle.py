@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.durations import micros
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.measurement import Measurement
+from tidemark.sources import files
 from tidemark.sources.store import read_table, write_table
 from tidemark.streaming.continuous import ContinuousQuery
 from tidemark.streaming.lifecycle import Downsample, RetentionPolicy, compact, default_shard_duration, enforce, shards
@@ -90,6 +91,84 @@ def test_compaction(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(path).select("seq", "v").collect())) == before
 
 
+class Fails(Exception):
+    pass
+
+
+def fail_at(monkeypatch, target, name, nth=0):
+    """Lets the nth call of a function fail, once."""
+    calls, real = iter(range(1000)), getattr(target, name)
+
+    def f(*a, **k):
+        if next(calls) == nth:
+            raise Fails
+        return real(*a, **k)
+
+    monkeypatch.setattr(target, name, f)
+
+
+@pytest.mark.parametrize("nth", range(4))
+def test_compaction_after_a_failure(spark, tmp_path, monkeypatch, nth):
+    """Whatever move fails, no row is there twice, and the next call has them all."""
+    path = str(tmp_path / "m")
+    for i in range(3):
+        write_table(points(spark, 24, 3600).where(f"seq % 3 = {i}"), path, tags=("host",))
+    m = read_table(spark, path, "m", ("host",), ("v",))
+    with monkeypatch.context() as mp:
+        fail_at(mp, files, ("put_once", "move", "move", "remove")[nth], (0, 0, 1, 0)[nth])
+        with pytest.raises(Fails):
+            compact(m, path, T0 + timedelta(days=9), "1d")
+    if files.exists(spark, f"{path}/shard_id=19723"):
+        assert spark.read.parquet(path).groupBy("seq").count().where("count > 1").count() == 0
+    else:  # between the two renames another writer appends
+        write_table(points(spark, 25, 3600).where("seq = 24").withColumn("time", F.lit(T0).cast("timestamp_ntz")), path, tags=("host",))
+    extra = int(spark.read.parquet(path).where("seq = 24").count())
+    compact(m, path, T0 + timedelta(days=9), "1d")
+    assert sorted(r["seq"] for r in spark.read.parquet(path).collect()) == list(range(24 + extra)) and not files.names(spark, f"{path}/_compact")
+
+
+def test_retention_after_a_failure(spark, tmp_path, monkeypatch):
+    """Aggregates are written, then dropping fails: the next call drops, and doesn't aggregate again."""
+    path = str(tmp_path / "m")
+    write_table(points(spark, 96, 3600), path, tags=("host",))
+    m = lambda: read_table(spark, path, "m", ("host",), ("v",), sequence=("seq",))
+    policy = RetentionPolicy("p", "48h", downsample=Downsample("6h", ("count",), "_6h"))
+    for nth in (0, 1):
+        with monkeypatch.context() as mp:
+            fail_at(mp, files, "remove", nth)
+            with pytest.raises(Fails):
+                enforce(m(), path, [policy], T0 + timedelta(days=4, hours=1), "1d")
+    assert enforce(m(), path, [policy], T0 + timedelta(days=5, hours=1), "1d") != []
+    assert spark.read.parquet(path + "_6h").agg(F.sum("v_count")).first()[0] == 72 and spark.read.parquet(path).count() == 24
+
+
+def test_turns_after_a_failure(spark, tmp_path, monkeypatch):
+    """A turn whose record fails is ended by the next one; two writers' changes of a catalog both stay."""
+    c, other = Catalog(spark, str(tmp_path / "w")), Catalog(spark, str(tmp_path / "w"))
+    c.write_lines("db", spark.createDataFrame([(f"m,host=a v={i} {1704067200 + i * 600}",) for i in range(60)], "value string"), "s")
+    c.create_query(cq())
+    with monkeypatch.context() as mp:
+        mp.setattr(c, "_change", lambda *a: (_ for _ in ()).throw(Fails()))
+        with pytest.raises(Fails):
+            c.run_queries("db", T0 + timedelta(hours=5))
+    for hour in (7, 7, 9):
+        c.run_queries("db", T0 + timedelta(hours=hour))
+    got = c.measurement("db", "m_1h").df.groupBy("time").count()
+    assert got.count() == 8 and got.where("count > 1").count() == 0 and c.query_status("db", "q")["processed"] == (T0 + timedelta(hours=8)).isoformat()
+    put, first = c._put, iter([True])
+
+    def late(db, version, state):
+        if next(first, False):
+            other.create_policy("db", RetentionPolicy("theirs"))
+        return put(db, version, state)
+
+    monkeypatch.setattr(c, "_put", late)
+    c.create_policy("db", RetentionPolicy("ours"))
+    assert [p.name for p in c.policies("db")] == ["ours", "theirs"]
+    turns = iter([False, True])
+    assert c.keep_running("db", 0, lambda: next(turns), lambda: T0 + timedelta(hours=9)) == 1
+
+
 def test_catalog_of_policies_and_queries(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "w"))
     c.create_database("db")

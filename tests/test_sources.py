@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans.catalog import Catalog
+from tidemark.plans.measurement import Measurement
 from tidemark.plans.query import Query
-from tidemark.sources import csv_points, json_points, line_protocol, store
+from tidemark.sources import csv_points, json_points, line_protocol, store, transfer
 from tidemark.sources.points import precision, wide, written_time
-from tidemark.sources.results import series_json
+from tidemark.sources.results import csv_rows, header, series_json
 
 NOW = datetime(2024, 1, 1)
 
@@ -22,19 +23,28 @@ def parse(spark, *text, **kw):
 
 
 def test_line_types(spark):
-    r = parse(spark, 'test float=3.14,int=42i,str="hello world",bool=true 1679616000000000000')[0]
+    r = parse(spark, 'tank level=-0.25,pumps=7i,state="half full",open=true 1700000000000000000')[0]
     f = r["fields"]
-    assert (f["float"]["f"], f["int"]["i"], f["str"]["s"], f["bool"]["b"]) == (3.14, 42, "hello world", True)
-    assert r["time_ns"] == 1679616000000000000 and r["time"] == datetime(2023, 3, 24)
-    for t in ("t", "T", "true", "True", "TRUE"):
-        assert parse(spark, f"m b={t} 1")[0]["fields"]["b"]["b"] is True
-    assert parse(spark, "m b=F")[0]["fields"]["b"]["b"] is False
+    assert (f["level"]["f"], f["pumps"]["i"], f["state"]["s"], f["open"]["b"]) == (-0.25, 7, "half full", True)
+    assert r["time_ns"] == 1700000000000000000 and r["time"] == datetime(2023, 11, 14, 22, 13, 20)
+    for yes, no in zip(line_protocol.TRUE, line_protocol.FALSE, strict=True):
+        got = parse(spark, f"tank a={yes},b={no} 1")[0]["fields"]
+        assert got["a"]["b"] is True and got["b"]["b"] is False
+    assert parse(spark, "tank a=F")[0]["fields"]["a"]["b"] is False
 
 
 def test_line_escapes(spark):
-    r = parse(spark, r"cpu,host\ name=server\ 1,region\=zone=us\,west value=1 1679616000000000000", r'test msg="hello \"world\", a=b c" 5')
-    assert r[0]["tags"] == {"host name": "server 1", "region=zone": "us,west"}
-    assert r[1]["fields"]["msg"]["s"] == 'hello "world", a=b c' and r[1]["time_ns"] == 5
+    r = parse(spark, r"tank,old\ site=pier\ 4,a\=b=c\,d level=2 1700000000000000000", r'tank note="say \"no\", x=y z" 5', "tank  level=3   9")
+    assert r[0]["tags"] == {"old site": "pier 4", "a=b": "c,d"}
+    assert r[1]["fields"]["note"]["s"] == 'say "no", x=y z' and r[1]["time_ns"] == 5
+    assert r[2]["fields"]["level"]["f"] == 3.0 and r[2]["time_ns"] == 9
+
+
+def test_long_lines(spark):
+    """Tens of thousands of fields, escapes and quoted signs in a line."""
+    many = ",".join(f"f{i}={i}i" for i in range(3000))
+    r = parse(spark, f"tank {many} 1", "tank s=" + '"' + 'x, \\"' * 20000 + '" 2', "t" + "\\ " * 20000 + " v=1 3")
+    assert [len(x["fields"]) for x in r] == [3000, 1, 1] and len(r[1]["fields"]["s"]["s"]) == 80000 and len(r[2]["measurement"]) == 20001
 
 
 def test_line_defaults(spark):
@@ -43,22 +53,22 @@ def test_line_defaults(spark):
     assert got[2]["tags"] == {"t": "2"} and got[2]["fields"]["v"]["f"] == 3.0 and got[2]["time_ns"] == 7 * 10**9
 
 
-@pytest.mark.parametrize("bad", [",host=server1 value=1", "cpu,host=server1", "cpu =1", "cpu,=value field=1", "cpu value=notani", "cpu value=not.a.float", "cpu v=99999999999999999999i"])
+@pytest.mark.parametrize("bad", ["tank v=1.2.3", "tank,site=north", "tank ,v=1", ",site=north v=1", "tank =2 5", "tank,site= v=1", "tank,=x v=1", "tank v=abc", "tank v=1 2 3", "tank v=1,v", "tank v=99999999999999999999i", "tank v=1 99999999999999999999", 'tank v="open 1'])
 def test_bad_lines(spark, bad):
     with pytest.raises(Exception, match="not line protocol"):
         parse(spark, bad)
-    assert len(parse(spark, bad, "cpu v=1", strict=False)) == 1
+    assert len(parse(spark, bad, "tank v=1", strict=False)) == 1
 
 
 def test_json(spark):
-    one = '{"measurement":"cpu","tags":{"host":"server01"},"fields":{"value":0.64,"n":3,"s":"x","b":false},"timestamp":1434055562000000000}'
-    got = json_points.parse_json(lines(spark, one, f"[{one},{one}]", '{"points":[' + one + "," + one + "]}")).collect()
+    one = '{"measurement":"tank","tags":{"site":"pier 4"},"fields":{"level":-1.5,"pumps":12,"state":"low","open":true},"timestamp":1700000000123456789}'
+    got = json_points.parse_json(lines(spark, f"[{one},{one}]", one, '{"points":[' + one + "," + one + "]}")).collect()
     assert len(got) == 5
     f = got[0]["fields"]
-    assert (f["value"]["f"], f["n"]["f"], f["s"]["s"], f["b"]["b"]) == (0.64, 3.0, "x", False) and got[0]["time_ns"] == 1434055562000000000
-    r = json_points.parse_json(lines(spark, '{"measurement":"cpu","fields":{"v":1},"time":"2024-01-15T12:00:00Z"}')).collect()[0]
-    assert r["time_ns"] == 1705320000000000000 and r["tags"] == {}
-    bad = ['{"fields":{"v":1}}', '{"measurement":"cpu","fields":{}}', '{"measurement":"cpu","fields":{"v":null}}', "no json"]
+    assert (f["level"]["f"], f["pumps"]["f"], f["state"]["s"], f["open"]["b"]) == (-1.5, 12.0, "low", True) and got[0]["time_ns"] == 1700000000123456789
+    r = json_points.parse_json(lines(spark, '{"time":"2023-11-14T22:13:20Z","measurement":"tank","fields":{"level":1}}')).collect()[0]
+    assert r["time_ns"] == 1700000000000000000 and r["tags"] == {}
+    bad = ["[1", '{"measurement":"tank","fields":{"level":null}}', '{"measurement":"tank"}', '{"measurement":"","fields":{"level":1}}']
     for b in bad:
         with pytest.raises(Exception, match="not a point"):
             json_points.parse_json(lines(spark, b)).collect()
@@ -72,20 +82,20 @@ def csv(spark, tmp_path, text, **kw):
 
 
 def test_csv(spark, tmp_path):
-    got = csv(spark, tmp_path, "time,host,value\n1434055562000000000,server01,0.64\n1434055563,server02,3\n", measurement="cpu", tags=("host",))
-    assert [r["time_ns"] for r in got] == [1434055562000000000, 1434055563000000000]
-    assert got[0]["tags"] == {"host": "server01"} and got[0]["fields"]["value"]["f"] == 0.64 and got[1]["fields"]["value"]["i"] == 3
-    got = csv(spark, tmp_path, "measurement,time,value\ncpu,1,1\nmem,2,\nmem,3,hello\n")
-    assert [(r["measurement"], r["fields"]["value"]["type"]) for r in got] == [("cpu", "integer"), ("mem", "string")]
-    got = csv(spark, tmp_path, "3.14;42;hello;true\n", measurement="m", header=False, delimiter=";")
-    assert [got[0]["fields"][f"col{i}"]["type"] for i in range(4)] == ["float", "integer", "string", "boolean"]
-    assert csv(spark, tmp_path, "time,value\n", measurement="m") == []
+    got = csv(spark, tmp_path, "site,level,time\npier 4,0.5,1700000000000000000\nnorth,8,1700000001\n", measurement="tank", tags=("site",))
+    assert [r["time_ns"] for r in got] == [1700000000000000000, 1700000001000000000]
+    assert got[0]["tags"] == {"site": "pier 4"} and got[0]["fields"]["level"]["f"] == 0.5 and got[1]["fields"]["level"]["i"] == 8
+    got = csv(spark, tmp_path, "time,measurement,v\n5,tank,2\n6,pump,\n7,pump,off\n")
+    assert [(r["measurement"], r["fields"]["v"]["type"]) for r in got] == [("tank", "integer"), ("pump", "string")]
+    got = csv(spark, tmp_path, "false|7|word|2.5\n", measurement="m", header=False, delimiter="|")
+    assert [got[0]["fields"][f"col{i}"]["type"] for i in range(4)] == ["boolean", "integer", "string", "float"]
+    assert csv(spark, tmp_path, "time,v\n", measurement="m") == []
 
 
 def test_times(spark):
-    text = ["1434055562000000000", "1434055562000000", "1434055562000", "1434055562", "2015-06-11T20:46:02Z", "2015-06-11 20:46:02"]
+    text = ["1700000000000000000", "1700000000000000", "1700000000000", "1700000000", "2023-11-14T22:13:20Z", "2023-11-14 22:13:20"]
     got = lines(spark, *text).select(written_time(F.col("value")).alias("t")).collect()
-    assert [r["t"] for r in got] == [1434055562000000000] * 6
+    assert [r["t"] for r in got] == [1700000000000000000] * 6
     assert [precision(p) for p in ("ns", "u", "ms", "s")] == [1, 1000, 10**6, 10**9]
     with pytest.raises(ValueError):
         precision("invalid")
@@ -151,3 +161,26 @@ def test_series_json_in_chunks(spark):
         mine = sorted((c for c in got if c["tags"].get("host") == host), key=lambda c: c["chunk"])
         found = [(v["time"], v["v"]) for c in mine for v in c["values"]]
         assert found == sorted((t.isoformat(timespec="microseconds") + "Z", v) for t, h, v in rows if h == host)
+
+
+def test_files_by_kind(spark, tmp_path):
+    """A measurement's range goes out and comes back in each format, by the file's name."""
+    rows = [(NOW + timedelta(hours=i), "a b" if i % 2 else None, i / 2, f'say "{i}", x') for i in range(10)]
+    m = Measurement(spark.createDataFrame(rows, "time timestamp_ntz, `old.site` string, v double, `state now` string"), "time", ("old.site",), ("v", "state now"), (), "tank")
+    want = sorted((t, s, v, n) for t, s, v, n in rows if NOW + timedelta(hours=2) <= t <= NOW + timedelta(hours=7))
+    for name in ("x.lp", "x.JSON", "x.csv"):
+        transfer.export(m, str(tmp_path / name), start=NOW + timedelta(hours=2), end=NOW + timedelta(hours=7))
+        kw = {"tags": ("old.site",)} if name == "x.csv" else {"kind": "jsonl"} if name == "x.JSON" else {}
+        got = transfer.read_points(spark, str(tmp_path / name), **kw)
+        number = lambda f: f["f"] if f["f"] is not None else float(f["i"])
+        assert sorted((r["time"], r["tags"].get("old.site"), number(r["fields"]["v"]), r["fields"]["state now"]["s"]) for r in got.collect()) == want
+    one = tmp_path / "one.json"
+    one.write_text('[\n {"measurement": "tank",\n "fields": {"v": 1}, "timestamp": 5}\n]')
+    assert transfer.read_points(spark, str(one)).count() == 1 and transfer.kind_of("a/b.csv.gz") == "csv"
+    with pytest.raises(ValueError):
+        transfer.export(m, str(tmp_path / "y"), kind="xml")
+
+
+def test_csv_of_results(spark):
+    df = spark.createDataFrame([(NOW, 'a "b"', None, True, 2.5)], "time timestamp_ntz, s string, n long, b boolean, f double")
+    assert header(df) == "time,s,n,b,f" and csv_rows(df).collect()[0][0] == '1704067200000000000,"a \\"b\\"",,true,2.5'

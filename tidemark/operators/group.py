@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.aggregates import aggregate
 from tidemark.functions.timebucket import bucket
-from tidemark.plans.measurement import Measurement
+from tidemark.plans.measurement import Measurement, named
 
 #: (aggregate, field or *, name, further argument)
 Spec = tuple
@@ -21,7 +21,7 @@ def group(m: Measurement, aggregates: list[Spec], every: str | None = None, by:
     tags = m.tags if per_series else tuple(by)
     for t in tags:
         m.column(t)
-    time, sequence = F.col(m.time), [F.col(c) for c in m.sequence]
+    time, sequence = named(m.time), [named(c) for c in m.sequence]
     made = []
     for name, column, alias, *arg in aggregates:
         if column == "*":
@@ -31,5 +31,5 @@ def group(m: Measurement, aggregates: list[Spec], every: str | None = None, by:
         else:
             made.append(aggregate(name, m.column(column), m.kinds[column], time, sequence, *arg).alias(alias))
     keys = [bucket(time, every, align).alias("time")] if every else []
-    keys += [F.col(t) for t in tags]
+    keys += [named(t) for t in tags]
     return m.df.groupBy(*keys).agg(*made) if keys else m.df.agg(*made)

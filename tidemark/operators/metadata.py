@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.measurement import Measurement
+from tidemark.plans.measurement import Measurement, named
 
 
 def tag_keys(spark: SparkSession, m: Measurement) -> DataFrame:
@@ -23,8 +23,8 @@ def tag_values(m: Measurement, tag: str) -> DataFrame:
 
 
 def series(m: Measurement) -> DataFrame:
-    return m.df.select(*m.tags).distinct().withColumn("series_key", m.series_key())
+    return m.df.select(*map(named, m.tags)).distinct().withColumn("series_key", m.series_key())
 
 
 def series_cardinality(m: Measurement) -> DataFrame:
-    return m.df.select(*m.tags).distinct().agg(F.count(F.lit(1)).alias("n_series"))
+    return m.df.select(*map(named, m.tags)).distinct().agg(F.count(F.lit(1)).alias("n_series"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.measurement import Measurement
+from tidemark.plans.measurement import Measurement, named
 
 
 def _by(m: Measurement, field: str | None, descending: bool) -> list[Column]:
@@ -17,14 +17,14 @@ def _by(m: Measurement, field: str | None, descending: bool) -> list[Column]:
 
 def order_by(m: Measurement, field: str, descending: bool = False) -> DataFrame:
     """Series by their tags, and each one's points by a field."""
-    return m.df.orderBy(*[F.col(t).asc_nulls_first() for t in sorted(m.tags)], *_by(m, field, descending))
+    return m.df.orderBy(*[named(t).asc_nulls_first() for t in sorted(m.tags)], *_by(m, field, descending))
 
 
 def limit(m: Measurement, n: int = 0, offset: int = 0, field: str | None = None, descending: bool = False) -> DataFrame:
     """Of each series ``n`` points (0: all) after ``offset``, in order of a field or of time. Spark drops rows beyond the limit before the shuffle."""
     if n <= 0 and offset <= 0:
         return m.df
-    place = F.row_number().over(Window.partitionBy(*m.tags).orderBy(*_by(m, field, descending)))
+    place = F.row_number().over(Window.partitionBy(*map(named, m.tags)).orderBy(*_by(m, field, descending)))
     keep = F.col("_place") > offset
     if n > 0:
         keep = keep & (F.col("_place") <= offset + n)

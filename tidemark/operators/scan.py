@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.durations import instant, micros
-from tidemark.plans.measurement import Measurement
+from tidemark.plans.measurement import Measurement, named
 
 
 def time_literal(at: str | int | datetime) -> Column:
@@ -24,7 +24,7 @@ def before_now(now: str | int | datetime, duration: str) -> datetime:
 
 def time_range(m: Measurement, start=None, end=None, include_start: bool = True, include_end: bool = True, shard_width: str | None = None) -> Measurement:
     """Points between two instants; an open side is None. With ``shard_width`` the shard column is bounded too, so that whole shards aren't read."""
-    df, t = m.df, F.col(m.time)
+    df, t = m.df, named(m.time)
     if start is not None:
         df = df.where(t >= time_literal(start) if include_start else t > time_literal(start))
     if end is not None:

@@ -3,76 +3,91 @@
 from __future__ import annotations
 
 import json
-import uuid
+import time
+from collections.abc import Callable
 from dataclasses import asdict, replace
+from datetime import datetime, timezone
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.durations import instant
 from tidemark.plans.measurement import Measurement
+from tidemark.sources import files
 from tidemark.sources.line_protocol import parse_lines
 from tidemark.sources.store import read_table, write_points
 from tidemark.streaming.continuous import ContinuousQuery
 from tidemark.streaming.lifecycle import Downsample, RetentionPolicy, enforce
 
+T = TypeVar("T")
+#: Versions of a catalog that stay after a change.
+KEPT = 10
+
 
 class Catalog:
-    """A folder of databases in any file system that Spark reaches. Changes are written whole and put in place by a rename."""
+    """A folder of databases in any file system that Spark reaches.
+
+    Each change of a database's catalog is a new version, a file that appears by one rename under a number that must be free: readers see
+    one version or the next, and of two writers the later one repeats its change on what the other has made.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _versions(self, db: str) -> list[int]:
+        return [int(n[1:11]) for n in files.names(self.spark, f"{self.root}/{db}/_catalog") if n.startswith("v")]
 
     def _load(self, db: str) -> dict:
-        fs, p = self._fs(f"{self.root}/{db}/catalog.json")
-        if not fs.exists(p):
+        return self._latest(db)[1]
+
+    def _latest(self, db: str) -> tuple[int, dict]:
+        version = max(self._versions(db), default=0)
+        if not version:
             raise KeyError(f"no database {db!r}")
-        return json.loads("".join(r[0] for r in self.spark.read.option("wholetext", True).text(f"{self.root}/{db}/catalog.json").collect()))
-
-    def _save(self, db: str, state: dict) -> None:
-        fs, final = self._fs(f"{self.root}/{db}/catalog.json")
-        _, draft = self._fs(f"{self.root}/{db}/.catalog-{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(draft, final)
+        return version, json.loads(files.read_text(self.spark, f"{self.root}/{db}/_catalog/v{version:010d}.json"))
+
+    def _put(self, db: str, version: int, state: dict) -> None:
+        files.put_once(self.spark, f"{self.root}/{db}/_catalog/v{version:010d}.json", json.dumps(state))
+        for old in self._versions(db):
+            if old <= version - KEPT:
+                files.remove(self.spark, f"{self.root}/{db}/_catalog/v{old:010d}.json")
+
+    def _change(self, db: str, change: Callable[[dict], T]) -> T:
+        """Applies a change to the latest version; again, if another writer was faster."""
+        while True:
+            version, state = self._latest(db)
+            out = change(state)
+            try:
+                self._put(db, version + 1, state)
+            except files.NameTaken:
+                continue
+            return out
 
     def databases(self) -> list[str]:
-        fs, p = self._fs(self.root)
-        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
+        return [n for n in files.names(self.spark, self.root) if self._versions(n)]
 
     def create_database(self, db: str, if_not_exists: bool = False) -> None:
-        if db in self.databases():
-            if if_not_exists:
-                return
+        try:
+            if not self._versions(db):
+                return self._put(db, 1, {"measurements": {}, "policies": {}, "queries": {}})
+        except files.NameTaken:
+            pass
+        if not if_not_exists:
             raise ValueError(f"database {db!r} exists")
-        self._save(db, {"measurements": {}, "policies": {}, "queries": {}})
 
     def drop_database(self, db: str, if_exists: bool = False) -> None:
         if db not in self.databases():
             if if_exists:
                 return
             raise KeyError(f"no database {db!r}")
-        fs, p = self._fs(f"{self.root}/{db}")
-        fs.delete(p, True)
+        files.remove(self.spark, f"{self.root}/{db}")
 
     def write(self, db: str, points: DataFrame, width: str = "1d") -> None:
         """Appends points, creating the database and measurements that aren't there."""
         self.create_database(db, if_not_exists=True)
         made = write_points(points, f"{self.root}/{db}", width)
-        state = self._load(db)
-        for name, (tags, fields) in made.items():
-            own = state["measurements"].setdefault(name, {"tags": [], "fields": []})
-            own["tags"] = sorted({*own["tags"], *tags})
-            own["fields"] = sorted({*own["fields"], *fields})
-            if clash := set(own["tags"]) & set(own["fields"]):
-                raise ValueError(f"{sorted(clash)} are tags and fields of {name!r}")
-        self._save(db, state)
+        self._change(db, lambda state: [_declare(state, name, tags, fields) for name, (tags, fields) in made.items()])
 
     def write_lines(self, db: str, lines: DataFrame, unit: str = "ns") -> None:
         self.write(db, parse_lines(lines, unit))
@@ -87,12 +102,9 @@ class Catalog:
         return read_table(self.spark, f"{self.root}/{db}/{name}", name, tuple(own["tags"]), tuple(own["fields"]))
 
     def drop_measurement(self, db: str, name: str) -> None:
-        state = self._load(db)
-        if state["measurements"].pop(name, None) is None:
+        if self._change(db, lambda state: state["measurements"].pop(name, None)) is None:
             raise KeyError(f"no measurement {name!r}")
-        self._save(db, state)
-        fs, p = self._fs(f"{self.root}/{db}/{name}")
-        fs.delete(p, True)
+        files.remove(self.spark, f"{self.root}/{db}/{name}")
 
     def tag_keys(self, db: str, name: str | None = None) -> list[str]:
         found = self._load(db)["measurements"]
@@ -121,18 +133,19 @@ class Catalog:
             made.append(RetentionPolicy(**{**p, "downsample": Downsample(d["every"], tuple(d["aggregates"]), d["suffix"]) if d else None}))
         return sorted(made, key=lambda p: p.name)
 
-    def _put_policy(self, db: str, policy: RetentionPolicy) -> None:
-        state = self._load(db)
-        if policy.default:
-            for p in state["policies"].values():
-                p["default"] = False
-        state["policies"][policy.name] = asdict(policy)
-        self._save(db, state)
+    def _put_policy(self, db: str, policy: RetentionPolicy, new: bool = False) -> None:
+        def put(state: dict) -> None:
+            if new and policy.name in state["policies"]:
+                raise ValueError(f"policy {policy.name!r} exists")
+            if policy.default:
+                for p in state["policies"].values():
+                    p["default"] = False
+            state["policies"][policy.name] = asdict(policy)
+
+        self._change(db, put)
 
     def create_policy(self, db: str, policy: RetentionPolicy) -> None:
-        if policy.name in self._load(db)["policies"]:
-            raise ValueError(f"policy {policy.name!r} exists")
-        self._put_policy(db, policy)
+        self._put_policy(db, policy, new=True)
 
     def alter_policy(self, db: str, name: str, **changes) -> RetentionPolicy:
         """Changes what is given; a new default takes the place of the old one."""
@@ -145,13 +158,15 @@ class Catalog:
 
     def drop_policy(self, db: str, name: str) -> None:
         """A default policy can't be dropped while there are others."""
-        state = self._load(db)
-        if name not in state["policies"]:
-            raise KeyError(f"no policy {name!r}")
-        if state["policies"][name]["default"] and len(state["policies"]) > 1:
-            raise ValueError("the default policy can't be dropped while others exist")
-        del state["policies"][name]
-        self._save(db, state)
+
+        def drop(state: dict) -> None:
+            if name not in state["policies"]:
+                raise KeyError(f"no policy {name!r}")
+            if state["policies"][name]["default"] and len(state["policies"]) > 1:
+                raise ValueError("the default policy can't be dropped while others exist")
+            del state["policies"][name]
+
+        self._change(db, drop)
 
     def enforce(self, db: str, now, width: str = "1d") -> dict[str, list[int]]:
         """Applies the policies to all measurements of a database."""
@@ -164,42 +179,57 @@ class Catalog:
         return sorted((ContinuousQuery(**{**q["query"], "by": None if q["query"]["by"] is None else tuple(q["query"]["by"])}) for q in found), key=lambda q: q.name)
 
     def create_query(self, cq: ContinuousQuery) -> None:
-        state = self._load(cq.database)
-        if cq.name in state["queries"]:
-            raise ValueError(f"continuous query {cq.name!r} exists")
-        state["queries"][cq.name] = {"query": asdict(cq), "processed": None, "last_run": None}
-        self._save(cq.database, state)
+        def create(state: dict) -> None:
+            if cq.name in state["queries"]:
+                raise ValueError(f"continuous query {cq.name!r} exists")
+            state["queries"][cq.name] = {"query": asdict(cq), "processed": None, "last_run": None}
+
+        self._change(cq.database, create)
 
     def drop_query(self, db: str, name: str) -> None:
-        state = self._load(db)
-        if state["queries"].pop(name, None) is None:
+        if self._change(db, lambda state: state["queries"].pop(name, None)) is None:
             raise KeyError(f"no continuous query {name!r}")
-        self._save(db, state)
 
     def enable_query(self, db: str, name: str, enabled: bool = True) -> None:
-        state = self._load(db)
-        state["queries"][name]["query"]["enabled"] = enabled
-        self._save(db, state)
+        self._change(db, lambda state: state["queries"][name]["query"].update(enabled=enabled))
 
     def query_status(self, db: str, name: str) -> dict:
         q = self._load(db)["queries"][name]
         return {"enabled": q["query"]["enabled"], "processed": q["processed"], "last_run": q["last_run"]}
 
     def run_queries(self, db: str, now) -> list[str]:
-        """One turn of each enabled query; which ran."""
-        from tidemark.functions.durations import instant
-
+        """One turn of each enabled query; which ran. After a failure, the next turn ends what the failed one began, so that no bucket is there twice."""
         ran = []
         for cq in self.queries(db):
             if not cq.enabled:
                 continue
-            state = self._load(db)
-            at = state["queries"][cq.name]["processed"]
+            at = self._load(db)["queries"][cq.name]["processed"]
             m = self.measurement(db, cq.source)
-            end = cq.run(m, f"{self.root}/{db}/{cq.destination}", now, instant(at) if at else None)
-            state["queries"][cq.name] |= {"processed": end.isoformat(), "last_run": instant(now).isoformat()}
-            own = state["measurements"].setdefault(cq.destination, {"tags": [], "fields": []})
-            own["tags"], own["fields"] = sorted({*own["tags"], *cq.tags(m)}), sorted({*own["fields"], cq.field})
-            self._save(db, state)
+            path = f"{self.root}/{db}/{cq.destination}"
+            end = cq.run(m, path, now, instant(at) if at else None)
+
+            def record(state: dict) -> None:
+                state["queries"][cq.name] |= {"processed": end.isoformat(), "last_run": instant(now).isoformat()}  # noqa: B023
+                _declare(state, cq.destination, cq.tags(m), (cq.field,))  # noqa: B023
+
+            self._change(db, record)
+            cq.forget(self.spark, path)
             ran.append(cq.name)
         return ran
+
+    def keep_running(self, db: str, every: float, stop: Callable[[], bool], clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> int:
+        """Runs the queries and the policies' retention every ``every`` seconds until ``stop()``; how many turns. A turn that fails is repeated by the next one."""
+        turns = 0
+        while not stop():
+            self.run_queries(db, clock())
+            self.enforce(db, clock())
+            turns += 1
+            time.sleep(every)
+        return turns
+
+
+def _declare(state: dict, name: str, tags, fields) -> None:
+    own = state["measurements"].setdefault(name, {"tags": [], "fields": []})
+    own["tags"], own["fields"] = sorted({*own["tags"], *tags}), sorted({*own["fields"], *fields})
+    if clash := set(own["tags"]) & set(own["fields"]):
+        raise ValueError(f"{sorted(clash)} are tags and fields of {name!r}")

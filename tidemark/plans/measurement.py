@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> Column:
+    """A column whatever its name: dots and blanks belong to it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class Measurement:
     """``df`` seen as points: tags name a series, fields hold its values. ``sequence`` columns order rows of equal time."""
@@ -33,13 +38,13 @@ class Measurement:
     def column(self, name: str) -> Column:
         if name not in (self.time, *self.tags, *self.fields):
             raise ValueError(f"{name!r} is neither a tag nor a field of {self.name}")
-        return F.col(name)
+        return named(name)
 
     def order(self) -> list[Column]:
         """Total order of a series' points."""
-        return [F.col(self.time).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in self.sequence]]
+        return [named(self.time).asc_nulls_first(), *[named(c).asc_nulls_first() for c in self.sequence]]
 
     def series_key(self) -> Column:
         """``name,tag=value,...`` with tags by name; missing tags left out."""
-        parts = [F.when(F.col(t).isNotNull(), F.concat(F.lit(f"{t}="), F.col(t).cast("string"))) for t in sorted(self.tags)]
+        parts = [F.when(named(t).isNotNull(), F.concat(F.lit(f"{t}="), named(t).cast("string"))) for t in sorted(self.tags)]
         return F.concat_ws(",", F.lit(self.name), *parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,10 @@ from tidemark.plans.measurement import Measurement
 
 @dataclass(frozen=True)
 class Query:
-    """Steps of a query. Points after ``now`` are left out unless a bound says otherwise; columns to order by needn't be selected."""
+    """Steps of a query. Unless a time range has an end, points after ``now`` are left out: the moment of the run, or the one given.
+
+    Columns to order by needn't be selected.
+    """
 
     m: Measurement
     columns: tuple = ()
@@ -28,9 +32,15 @@ class Query:
     descending: bool = False
     n: int = 0
     skip: int = 0
+    now: str | int | datetime | None = None
+    ends: bool = False
 
     def time_range(self, start=None, end=None, **how) -> Query:
-        return replace(self, m=s.time_range(self.m, start, end, **how))
+        return replace(self, m=s.time_range(self.m, start, end, **how), ends=self.ends or end is not None)
+
+    def at(self, now: str | int | datetime) -> Query:
+        """The same query as if run at ``now``."""
+        return replace(self, now=now)
 
     def since(self, duration: str, now) -> Query:
         """Points of the time from ``now - duration`` to ``now``."""
@@ -65,6 +75,9 @@ class Query:
         return replace(self, n=n, skip=offset)
 
     def run(self) -> DataFrame:
+        if not self.ends:
+            until = s.time_literal(self.now) if self.now is not None else F.current_timestamp().cast("timestamp_ntz")
+            return replace(self, m=s.where(self.m, self.m.column(self.m.time) <= until), ends=True).run()
         if self.aggregates:
             if self.columns:
                 raise ValueError("points and aggregates can't be selected together")
@@ -79,4 +92,4 @@ class Query:
         df = o.limit(self.m, self.n, self.skip, self.field, self.descending)
         if self.field and not (self.n or self.skip):
             df = o.order_by(self.m, self.field, self.descending)
-        return df.select(*self.columns) if self.columns else df.select(self.m.time, *self.m.tags, *self.m.fields)
+        return df.select(*[self.m.column(c) if isinstance(c, str) else c for c in self.columns or (self.m.time, *self.m.tags, *self.m.fields)])

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import diff, group, metadata
 from tidemark.plans.measurement import Measurement
 from tidemark.plans.query import Query
-from tidemark.sources.csv_points import to_csv_columns
+from tidemark.sources.csv_points import read_csv, to_csv_columns
 from tidemark.sources.json_points import parse_json, to_json
 from tidemark.sources.line_protocol import parse_lines, to_lines
 from tidemark.sources.points import narrow, typed_text, written_time
-from tidemark.sources.results import series_json
+from tidemark.sources.results import csv_rows, series_json, statements
+from tidemark.sources.store import read_table, write_table
+from tidemark.sources.transfer import export, read_points
 from tidemark.streaming.continuous import ContinuousQuery
-from tidemark.streaming.lifecycle import Downsample, downsampled, keep
+from tidemark.streaming.lifecycle import Downsample, RetentionPolicy, compact, downsampled, enforce, keep
 
 NOW = "2024-01-20T00:00:00Z"
 Q = Callable[[SparkSession, str], DataFrame]
@@ -360,3 +364,100 @@ def orders_by_series(s, d):
     df = group.group(Query(orders(s, d)).time_range("1995-01-01").m, [("count", "*", "n"), ("mean", "o_totalprice", "mean")], per_series=True)
     return df.select("o_orderpriority", "o_orderstatus", "n", F.round("mean", 4).alias("mean"))
 
+
+
+# What is written and read again
+
+def _scratch(s: SparkSession) -> str:
+    """A new folder that the driver and all executors share; a local one only where all is one machine."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{shared.rstrip('/')}/queries/{uuid.uuid4().hex}"
+
+
+@register("SELECT o_orderkey AS key, o_orderstatus AS status, o_orderdate AS time, o_totalprice AS price FROM orders")
+def csv_files(s, d):
+    """Exported as CSV files and read again by the files' kind."""
+    df = s.read.parquet(f"{d}/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    path = f"{_scratch(s)}/orders.csv"
+    export(Measurement(df, "o_orderdate", ("o_orderstatus",), ("o_orderkey", "o_totalprice"), (), "orders"), path)
+    p = read_csv(s, path, tags=("o_orderstatus",))
+    price = F.coalesce(F.col("fields")["o_totalprice"]["f"], F.col("fields")["o_totalprice"]["i"].cast("double"))
+    return p.select(F.col("fields")["o_orderkey"]["i"].alias("key"), F.col("tags")["o_orderstatus"].alias("status"), "time", price.alias("price"))
+
+
+@register("SELECT event_type, ts AS time, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09'")
+def line_files(s, d):
+    """A range exported as line protocol and imported again."""
+    path = f"{_scratch(s)}/events.lp"
+    export(events(s, d), path, start="2024-01-05", end="2024-01-09")
+    return read_points(s, path).select(F.col("tags")["event_type"].alias("event_type"), "time", F.col("fields")["value"]["f"].alias("value"))
+
+
+@register("SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, ts, event_id) AS place FROM events")
+def order_places(s, d):
+    """The place that each row has in the ordered result."""
+    out = Query(events(s, d)).order_by("value", descending=True).run().withColumn("_id", F.monotonically_increasing_id())
+    return out.select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("_id")).alias("place"))
+
+
+@register("SELECT ts, event_type, value FROM events WHERE ts <= TIMESTAMP '2024-01-20'")
+def until_now(s, d):
+    """A query without an end leaves out what comes after now."""
+    return Query(events(s, d)).at(NOW).run()
+
+
+@register("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1")
+def sharded_range(s, d):
+    """A range of a table sharded by day: only its shards are read."""
+    path = f"{_scratch(s)}/events"
+    write_table(events(s, d).df.withColumnRenamed("ts", "time"), path, tags=("event_type",))
+    m = read_table(s, path, "events", ("event_type",), ("value",), sequence=("event_id",))
+    q = Query(m).time_range("2024-01-10", "2024-01-12", include_end=False, shard_width="1d")
+    return q.agg(("count", "*", "n"), ("sum", "value", "total")).group_by("event_type").run().select("event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register("SELECT time_bucket(INTERVAL '6 HOUR', ts, TIMESTAMP '1970-01-01') AS time, event_type, max(value) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-14' GROUP BY 1, 2")
+def cq_turns(s, d):
+    """Three turns of a continuous query, the second one twice, as after a failure: its buckets are there once."""
+    path, q, m = f"{_scratch(s)}/events_6h", ContinuousQuery("q", "db", "events", "events_6h", "value", "max", "6h"), events(s, d)
+    at = q.run(m, path, "2024-01-11T06:00:00Z", q.floor("2024-01-10"))
+    q.forget(s, path)
+    q.run(m, path, "2024-01-12T09:00:00Z", at)
+    at = q.run(m, path, "2024-01-12T23:00:00Z", at)
+    q.forget(s, path)
+    q.run(m, path, "2024-01-14T06:00:00Z", at)
+    return s.read.parquet(path).select("time", "event_type", "value")
+
+
+@register("SELECT event_type, 'kept' AS part, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-13' GROUP BY 1 UNION ALL SELECT event_type, 'aggregated', count(value) FROM events WHERE ts < TIMESTAMP '2024-01-13' GROUP BY 1")
+def retention_enforced(s, d):
+    """Two loads of a table by day, cold days compacted, a week kept, the rest aggregated by hour."""
+    path = f"{_scratch(s)}/events"
+    for odd in (0, 1):
+        write_table(events(s, d).df.where(F.col("event_id") % 2 == odd).withColumnRenamed("ts", "time"), path, tags=("event_type",))
+    table = lambda: read_table(s, path, "events", ("event_type",), ("value",), sequence=("event_id",))
+    compact(table(), path, NOW, "1d")
+    enforce(table(), path, [RetentionPolicy("week", "7d", downsample=Downsample("1h", ("count",), "_1h"))], NOW, "1d")
+    kept = s.read.parquet(path).groupBy("event_type").agg(F.lit("kept").alias("part"), F.count(F.lit(1)).alias("n"))
+    return kept.unionByName(s.read.parquet(f"{path}_1h").groupBy("event_type").agg(F.lit("aggregated").alias("part"), F.sum("value_count").alias("n")))
+
+
+@register("SELECT 0 AS statement_id, event_type, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 1, event_type, 1 FROM events GROUP BY 2")
+def statement_responses(s, d):
+    """Two statements' responses, points and a maximum a series, read back from their JSON."""
+    q = Query(events(s, d))
+    points = series_json(q.run().withColumnRenamed("ts", "time"), "events", ("event_type",))
+    top = series_json(q.agg(("max", "value", "value")).group_by("event_type", every="52w").run().groupBy("event_type").agg(F.min("time").alias("time"), F.max("value").alias("value")), "events", ("event_type",))
+    shape = "struct<results:array<struct<statement_id:int,series:array<struct<tags:map<string,string>,values:array<struct<time:string,value:double>>>>>>>"
+    p = statements(points, top).select(F.from_json("response", shape).alias("p")).select(F.explode("p.results").alias("r")).select("r.statement_id", F.explode("r.series").alias("x"))
+    return p.groupBy("statement_id", F.col("x.tags")["event_type"].alias("event_type")).agg(F.sum(F.size("x.values")).alias("n"))
+
+
+@register("""SELECT epoch_us(ts)::varchar || '000,"' || event_type || '",' || coalesce(event_id::varchar, '') AS value FROM events""")
+def csv_lines(s, d):
+    m = events(s, d)
+    return csv_rows(m.df.select("ts", "event_type", "event_id"), "ts")

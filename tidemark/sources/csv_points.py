@@ -33,5 +33,5 @@ def read_csv(spark: SparkSession, path: str, measurement: str | None = None, mea
 
 def to_csv_columns(df: DataFrame, measurement: str, time: str, tags: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
     """A wide table in the order that CSV files have: time (RFC 3339), measurement, tags and fields by name. Write it with ``.write.csv(path, header=True)``."""
-    at = F.concat(F.date_format(F.col(time), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    return df.select(at.alias("time"), F.lit(measurement).alias("measurement"), *sorted(tags), *sorted(fields))
+    at = F.concat(F.date_format(F.col(f"`{time}`"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    return df.select(at.alias("time"), F.lit(measurement).alias("measurement"), *[F.col(f"`{c}`") for c in (*sorted(tags), *sorted(fields))])

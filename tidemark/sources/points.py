@@ -85,7 +85,7 @@ def narrow(df: DataFrame, measurement: str, time: str, tags: tuple[str, ...], fi
     kinds = dict(df.dtypes)
 
     def of(name: str) -> Column:
-        c, k = F.col(name), kinds[name]
+        c, k = F.col(f"`{name}`"), kinds[name]
         if k == "boolean":
             return value("boolean", b=c)
         if k in ("tinyint", "smallint", "int", "bigint"):
@@ -95,8 +95,8 @@ def narrow(df: DataFrame, measurement: str, time: str, tags: tuple[str, ...], fi
     def kept(pairs: list[Column]) -> Column:
         return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull()))
 
-    tag_map = kept([F.struct(F.lit(t).alias("key"), F.col(t).cast("string").alias("value")) for t in tags]) if tags else F.create_map().cast("map<string,string>")
-    field_map = kept([F.struct(F.lit(f).alias("key"), F.when(F.col(f).isNotNull(), of(f)).alias("value")) for f in fields])
+    tag_map = kept([F.struct(F.lit(t).alias("key"), F.col(f"`{t}`").cast("string").alias("value")) for t in tags]) if tags else F.create_map().cast("map<string,string>")
+    field_map = kept([F.struct(F.lit(f).alias("key"), F.when(F.col(f"`{f}`").isNotNull(), of(f)).alias("value")) for f in fields])
     ns = F.col("time_ns") if "time_ns" in kinds else F.unix_micros(F.col(time).cast("timestamp")) * 1000
     out = df.select(F.lit(measurement).alias("measurement"), F.col(time).alias("time"), ns.alias("time_ns"), tag_map.alias("tags"), field_map.alias("fields"))
     return out.where(F.size("fields") > 0)

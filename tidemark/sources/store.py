@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.durations import micros
 from tidemark.plans.measurement import Measurement
+from tidemark.sources import files
 from tidemark.sources.points import wide
 
 
@@ -15,15 +19,38 @@ def shard_id(time: F.Column, width: str) -> F.Column:
     return ((us - F.pmod(us, F.lit(micros(width)))) / micros(width)).cast("bigint")
 
 
-def write_table(df: DataFrame, path: str, time: str = "time", tags: tuple[str, ...] = (), width: str = "1d", files_per_shard: int = 1) -> None:
-    """Appends a wide table: a folder for each shard, rows of a series together and by time within files, so that statistics can skip most.
+def write_table(df: DataFrame, path: str, time: str = "time", tags: tuple[str, ...] = (), width: str = "1d", mode: str = "append") -> None:
+    """Writes a wide table: a folder for each shard, rows of a series together and by time within files, so that statistics can skip most.
+
+    Rows are dealt by shard, and Spark splits the tasks of a busy shard by size while it runs (``rebalance``): the current day isn't one task.
+    """
+    rows = df.withColumn("shard_id", shard_id(F.col(time), width)).hint("rebalance", "shard_id")
+    rows.sortWithinPartitions("shard_id", *[F.col(f"`{t}`") for t in tags], time).write.partitionBy("shard_id").mode(mode).parquet(path)
+
+
+def write_once(spark: SparkSession, make: Callable[[], DataFrame], path: str, turn: str, time: str = "time", tags: tuple[str, ...] = (), width: str = "1d") -> None:
+    """Adds the rows that ``make`` gives to a table under the name of a turn: however often a turn is repeated after a failure, its rows are there once.
 
-    A busy shard is spread over ``files_per_shard`` tasks by its series and time.
+    They are written aside first; when they are whole, their files move into the shards under names of the turn. ``forget`` ends a turn, once
+    the caller has recorded it.
     """
-    rows = df.withColumn("shard_id", shard_id(F.col(time), width))
-    spread = F.pmod(F.xxhash64(time, *tags), F.lit(files_per_shard))
-    rows = rows.repartition("shard_id", spread) if files_per_shard > 1 else rows.repartition("shard_id")
-    rows.sortWithinPartitions("shard_id", *tags, time).write.partitionBy("shard_id").mode("append").parquet(path)
+    aside = f"{path}/_turns/{turn}"
+    if not files.exists(spark, f"{aside}/_SUCCESS"):
+        write_table(make(), aside, time, tags, width, mode="overwrite")
+    for shard in files.names(spark, aside):
+        for name in files.names(spark, f"{aside}/{shard}") if shard.startswith("shard_id=") else []:
+            if name.endswith(".parquet"):
+                files.move(spark, f"{aside}/{shard}/{name}", f"{path}/{shard}/{turn}-{name}")
+
+
+def unfinished(spark: SparkSession, path: str, kind: str) -> list[str]:
+    """Turns of a kind, the first part of their names, that were written whole but not forgotten."""
+    found = files.names(spark, f"{path}/_turns")
+    return [t for t in found if t.startswith(f"{kind}@") and files.exists(spark, f"{path}/_turns/{t}/_SUCCESS")]
+
+
+def forget(spark: SparkSession, path: str, turn: str) -> None:
+    files.remove(spark, f"{path}/_turns/{turn}")
 
 
 def read_table(spark: SparkSession, path: str, name: str, tags: tuple[str, ...], fields: tuple[str, ...], time: str = "time", sequence: tuple[str, ...] = ()) -> Measurement:
@@ -32,11 +59,20 @@ def read_table(spark: SparkSession, path: str, name: str, tags: tuple[str, ...],
 
 
 def write_points(points: DataFrame, root: str, width: str = "1d") -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
-    """Appends points of any measurements to their tables under ``root``; tags and fields of each. Measurements' names reach the driver."""
-    names = [r[0] for r in points.select("measurement").distinct().collect()]
-    out = {}
-    for name in sorted(names):
-        df, tags, fields = wide(points, name)
-        write_table(df, f"{root}/{name}", "time", tags, width)
-        out[name] = (tags, fields)
-    return out
+    """Appends points of any measurements to their tables under ``root``; tags and fields of each. Measurements' names reach the driver.
+
+    Points are parsed once: they are written aside by measurement, and each table is made from its own part.
+    """
+    spark = points.sparkSession
+    aside = f"{root}/_points/{uuid.uuid4().hex}"
+    try:
+        points.withColumn("_m", F.col("measurement")).write.partitionBy("_m").parquet(aside)
+        written = spark.read.schema(points.schema.add("_m", "string")).parquet(aside)  # a measurement's folder is all that a filter reads
+        out = {}
+        for name in sorted(r[0] for r in written.select("_m").distinct().collect()):
+            df, tags, fields = wide(written.where(F.col("_m") == name), name)
+            write_table(df, f"{root}/{name}", "time", tags, width)
+            out[name] = (tags, fields)
+        return out
+    finally:
+        files.remove(spark, aside)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,8 +15,9 @@ from tidemark.functions.timebucket import offset
 from tidemark.operators.group import group
 from tidemark.operators.scan import time_range
 from tidemark.plans.measurement import Measurement
-from tidemark.sources.store import shard_id, write_table
+from tidemark.sources.store import forget, shard_id, unfinished, write_once
 
+_STAMP = "%Y%m%dT%H%M%S.%f"
 FUNCTIONS = ("mean", "avg", "sum", "count", "min", "max", "first", "last")
 
 
@@ -59,15 +60,27 @@ class ContinuousQuery:
     def run(self, m: Measurement, path: str, now, processed: datetime | None = None, look_back: str = "24h", width: str = "1d") -> datetime:
         """One turn: appends the buckets that ended since the last turn, leaving the newest open bucket to late points. Returns how far it came.
 
-        Turns begin and end at bucket starts, so that no bucket is written twice.
+        Turns begin and end at bucket starts, so that no bucket is written twice. A turn is forgotten by the caller, once it has recorded
+        how far it came; one that isn't, because the caller failed, is ended as it was begun.
         """
+        spark = m.df.sparkSession
+        for turn in unfinished(spark, path, self.name):
+            begun, ended = (datetime.strptime(x, _STAMP) for x in turn.split("@")[-2:])
+            write_once(spark, lambda: None, path, turn)
+            if processed is None or begun == processed:
+                return ended
+            forget(spark, path, turn)  # it was recorded
         end = self.floor(instant(now) - timedelta(microseconds=micros(self.every)))
         start = processed if processed is not None else self.floor(instant(now) - timedelta(microseconds=micros(look_back)))
         if start >= end:
             return start
-        write_table(self.batch(m, start, end), path, "time", self.tags(m), width)
+        write_once(spark, lambda: self.batch(m, start, end), path, f"{self.name}@{start:{_STAMP}}@{end:{_STAMP}}", "time", self.tags(m), width)
         return end
 
+    def forget(self, spark: SparkSession, path: str) -> None:
+        for turn in unfinished(spark, path, self.name):
+            forget(spark, path, turn)
+
     def aggregated(self, m: Measurement, late: str | None = None) -> DataFrame:
         """The same buckets of a stream, each once, when points can't come for it any more: ``late`` (default: one bucket) after its end."""
         us = micros(self.every)

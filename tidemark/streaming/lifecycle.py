@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.durations import instant, micros
 from tidemark.operators.group import group
 from tidemark.plans.measurement import Measurement
-from tidemark.sources.store import write_table
+from tidemark.sources import files
+from tidemark.sources.store import forget, unfinished, write_once
 
 AGGREGATES = ("mean", "avg", "sum", "count", "min", "max")
 
@@ -73,19 +74,14 @@ def downsampled(m: Measurement, how: Downsample) -> DataFrame:
     return group(m, specs, how.every, m.tags, align="unix")
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def shards(spark: SparkSession, path: str) -> dict[int, tuple[int, int]]:
     """Files and bytes of each shard of a table: one entry a folder."""
-    fs, p = _fs(spark, path)
+    fs, p = files.fs_of(spark, path)
     found = {}
     for f in fs.listStatus(p) if fs.exists(p) else []:
         if f.isDirectory() and (m := re.fullmatch(r"shard_id=(-?\d+)", f.getPath().getName())):
-            files = [x for x in fs.listStatus(f.getPath()) if x.getPath().getName().endswith(".parquet")]
-            found[int(m[1])] = (len(files), sum(x.getLen() for x in files))
+            own = [x for x in fs.listStatus(f.getPath()) if x.getPath().getName().endswith(".parquet")]
+            found[int(m[1])] = (len(own), sum(x.getLen() for x in own))
     return found
 
 
@@ -94,46 +90,83 @@ def _end(shard: int, width: str) -> datetime:
 
 
 def enforce(m: Measurement, path: str, policies: list[RetentionPolicy], now, width: str) -> list[int]:
-    """Drops the shards that end before the shortest finite policy's cutoff, first writing aggregates where a policy asks for them. Which were dropped."""
+    """Drops the shards that end before the shortest finite policy's cutoff, first writing aggregates where a policy asks for them. Which were dropped.
+
+    After a failure between the two, the next call ends that turn first, with the shards it was for: no aggregate is there twice.
+    """
     spark = m.df.sparkSession
     finite = [p for p in policies if micros(p.duration) > 0]
     if not finite:
         return []
     cutoff = instant(now) - timedelta(microseconds=min(micros(p.duration) for p in finite))
     old = sorted(s for s in shards(spark, path) if _end(s, width) < cutoff)
-    if old:
-        leaving = m.over(m.df.where(F.col("shard_id").isin(old)))
-        for p in finite:
-            if p.downsample:
-                write_table(downsampled(leaving, p.downsample), f"{path}{p.downsample.suffix}", "time", m.tags, width)
-        for s in old:
-            fs, p = _fs(spark, f"{path}/shard_id={s}")
-            fs.delete(p, True)
+    asked = [(p, f"{path}{p.downsample.suffix}") for p in finite if p.downsample]
+    begun = sorted({tuple(map(int, t.split("@")[-2:])) for p, to in asked for t in unfinished(spark, to, f"expire-{p.name}")})
+    turns = [[s for s in old if low <= s <= high] for low, high in begun]
+    turns.append([s for s in old if not any(low <= s <= high for low, high in begun)])
+    for (low, high), gone in zip([*begun, (None, None)], turns, strict=True):
+        if low is None and not gone:
+            continue
+        low, high = (gone[0], gone[-1]) if low is None else (low, high)
+        leaving = m.over(m.df.where(F.col("shard_id").isin(gone)))
+        names = [(p, to, f"expire-{p.name}@{low}@{high}") for p, to in asked]
+        for p, to, turn in names:
+            write_once(spark, lambda p=p: downsampled(leaving, p.downsample), to, turn, "time", m.tags, width)  # noqa: B023
+        for s in gone:
+            files.remove(spark, f"{path}/shard_id={s}")
+        for _, to, turn in names:
+            forget(spark, to, turn)
     return old
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends or undoes compactions that failed half way: a shard whose old folder has gone aside gets its new one."""
+    for name in files.names(spark, f"{path}/_compact"):
+        work, here = f"{path}/_compact/{name}", f"{path}/shard_id={name.split('@')[0]}"
+        if files.exists(spark, f"{work}/old"):
+            if files.exists(spark, f"{work}/new"):
+                _swap_in(spark, work, here)
+            _late(spark, work, here)
+        files.remove(spark, work)
+
+
+def _swap_in(spark: SparkSession, work: str, here: str) -> None:
+    if files.exists(spark, here):  # points were appended in between
+        for n in files.names(spark, f"{work}/new"):
+            files.move(spark, f"{work}/new/{n}", f"{here}/{n}")
+    else:
+        files.move(spark, f"{work}/new", here)
+
+
+def _late(spark: SparkSession, work: str, here: str) -> None:
+    """Files that were appended to the old folder after it was read belong to the new one."""
+    read = set(files.read_text(spark, f"{work}/read").split("\n"))
+    for n in files.names(spark, f"{work}/old"):
+        if n.endswith(".parquet") and n not in read:
+            files.move(spark, f"{work}/old/{n}", f"{here}/{n}")
+
+
 def compact(m: Measurement, path: str, now, width: str, fewest: int = 2, most_bytes: int = 1 << 30, target: int = 128 << 20, cold_after: str = "24h") -> list[int]:
     """Rewrites each cold shard of several small files as files of about ``target`` bytes. Which were rewritten.
 
-    The new files are complete before the old ones go; a reader that has listed the old ones has to read again.
+    The new folder is complete before it takes the old one's place by two renames: nobody reads a row twice. A reader that finds files gone
+    has to read again; what a failure leaves between the renames, the next call (or ``recover``) ends.
     """
     spark = m.df.sparkSession
+    recover(spark, path)
     before = instant(now) - timedelta(microseconds=micros(cold_after))
     done = []
-    for s, (files, size) in sorted(shards(spark, path).items()):
-        if files < fewest or size > most_bytes or _end(s, width) >= before:
+    for s, (count, size) in sorted(shards(spark, path).items()):
+        if count < fewest or size > most_bytes or _end(s, width) >= before:
             continue
-        here, fresh = f"{path}/shard_id={s}", f"{path}/_compact/{uuid.uuid4().hex}"
-        rows = spark.read.parquet(here).coalesce(max(1, -(-size // target)))
-        rows.sortWithinPartitions(*m.tags, m.time).write.parquet(fresh)
-        fs, target_path = _fs(spark, here)
-        _, fresh_path = _fs(spark, fresh)
-        old = [f.getPath() for f in fs.listStatus(target_path) if f.getPath().getName().endswith(".parquet")]
-        for f in fs.listStatus(fresh_path):
-            if f.getPath().getName().endswith(".parquet"):
-                fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{here}/{f.getPath().getName()}"))
-        for f in old:
-            fs.delete(f, False)
-        fs.delete(fresh_path, True)
+        here, work = f"{path}/shard_id={s}", f"{path}/_compact/{s}@{uuid.uuid4().hex}"
+        read = [n for n in files.names(spark, here) if n.endswith(".parquet")]
+        rows = spark.read.option("mergeSchema", "true").parquet(*[f"{here}/{n}" for n in read]).coalesce(max(1, -(-size // target)))
+        rows.sortWithinPartitions(*[F.col(f"`{t}`") for t in m.tags], m.time).write.parquet(f"{work}/new")
+        files.put_once(spark, f"{work}/read", "\n".join(read))
+        files.move(spark, here, f"{work}/old")
+        _swap_in(spark, work, here)
+        _late(spark, work, here)
+        files.remove(spark, work)
         done.append(s)
     return done
