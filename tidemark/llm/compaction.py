@@ -255,6 +255,7 @@ def shard_documents(docs: DataFrame, root: str, tiers: Tiers = Tiers(), arrivals
         store.append(docs.where(turn == i), f"documents-{i}")
         if i % 2:
             store.compact()
+            store.vacuum()
     version = store.compact().version
     store.vacuum()
     text = F.col("text").cast("binary")
