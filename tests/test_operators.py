@@ -116,3 +116,16 @@ def test_tag_filter_reaches_the_scan(spark, two, tmp_path):
     m = two.over(spark.read.parquet(str(tmp_path / "t")))
     plan = Query(m).tags(host="a").time_range("2024-01-01").select("usage").run()._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(host,a)" in plan and "GreaterThanOrEqual(time" in plan and "region" not in plan.split("ReadSchema")[1]
+
+
+def test_statement_text(two):
+    q = Query(two).tags(host="a").time_range("2024-01-01", "2024-01-02", include_end=False).where("usage > 1").agg(("mean", "usage", "m"), ("percentile", "usage", "p", 90)).group_by("host", every="5m").limit(3, 1)
+    assert str(q) == "SELECT mean(usage) AS m, percentile(usage, 90) AS p FROM cpu WHERE host = 'a' AND time >= '2024-01-01' AND time < '2024-01-02' AND (usage > 1) GROUP BY time(5m), host LIMIT 3 OFFSET 1"
+    assert str(Query(two).select("usage").order_by("usage", descending=True)) == "SELECT usage FROM cpu ORDER BY usage DESC" and str(Query(two)) == "SELECT * FROM cpu"
+
+
+def test_points_after_now(two):
+    """Without an end, points after now are left out: of the run, or of the moment given; an end lets them in."""
+    later = two.over(two.df.union(two.df.limit(1).withColumn("time", F.lit(datetime(2999, 1, 1)).cast("timestamp_ntz"))))
+    assert Query(later).run().count() == 5 and Query(later).at("2024-01-01T00:01:00Z").run().count() == 4
+    assert Query(later).time_range(end="3000-01-01").run().count() == 6 and Query(later).at("2024-01-01T00:00:00Z").agg(("count", "*", "n")).run().collect()[0]["n"] == 2

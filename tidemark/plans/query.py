@@ -34,9 +34,15 @@ class Query:
     skip: int = 0
     now: str | int | datetime | None = None
     ends: bool = False
+    conditions: tuple[str, ...] = ()
+
+    def _and(self, m: Measurement, condition: str, ends: bool = False) -> Query:
+        return replace(self, m=m, conditions=(*self.conditions, condition) if condition else self.conditions, ends=self.ends or ends)
 
     def time_range(self, start=None, end=None, **how) -> Query:
-        return replace(self, m=s.time_range(self.m, start, end, **how), ends=self.ends or end is not None)
+        low, high = (">" + "=" * how.get("include_start", True), "<" + "=" * how.get("include_end", True))
+        text = " AND ".join(f"time {sign} '{at}'" for sign, at in ((low, start), (high, end)) if at is not None)
+        return self._and(s.time_range(self.m, start, end, **how), text, end is not None)
 
     def at(self, now: str | int | datetime) -> Query:
         """The same query as if run at ``now``."""
@@ -47,13 +53,14 @@ class Query:
         return self.time_range(s.before_now(now, duration), now)
 
     def tags(self, **values: str) -> Query:
-        return replace(self, m=s.tags_all(self.m, values))
+        return self._and(s.tags_all(self.m, values), " AND ".join(f"{k} = '{v}'" for k, v in values.items()))
 
     def any_tag(self, **values) -> Query:
-        return replace(self, m=s.tags_any(self.m, values))
+        some = [f"{k} = '{x}'" for k, v in values.items() for x in (v if isinstance(v, list) else [v])]
+        return self._and(s.tags_any(self.m, values), f"({' OR '.join(some)})")
 
     def where(self, condition: Column | str) -> Query:
-        return replace(self, m=s.where(self.m, F.expr(condition) if isinstance(condition, str) else condition))
+        return self._and(s.where(self.m, F.expr(condition) if isinstance(condition, str) else condition), f"({condition})")
 
     def select(self, *columns: str | Column) -> Query:
         for c in columns:
@@ -74,6 +81,14 @@ class Query:
         """Of each series, or of each group's rows by time, ``n`` after ``offset``."""
         return replace(self, n=n, skip=offset)
 
+    def __str__(self) -> str:
+        """The query as a statement, to be read; ``run().explain()`` shows its plan."""
+        made = [f"{name}({', '.join([field, *map(str, more)])}) AS {alias}" for name, field, alias, *more in self.aggregates]
+        keys = [f"time({self.every})"] * bool(self.every) + list(self.m.tags if self.per_series else self.by)
+        parts = [f"SELECT {', '.join(made or map(str, self.columns)) or '*'} FROM {self.m.name}", f"WHERE {' AND '.join(self.conditions)}" if self.conditions else "", f"GROUP BY {', '.join(keys)}" if keys else ""]
+        parts += [f"ORDER BY {self.field or 'time'}{' DESC' * self.descending}" if self.field else "", f"LIMIT {self.n}" if self.n else "", f"OFFSET {self.skip}" if self.skip else ""]
+        return " ".join(p for p in parts if p)
+
     def run(self) -> DataFrame:
         if not self.ends:
             until = s.time_literal(self.now) if self.now is not None else F.current_timestamp().cast("timestamp_ntz")
