@@ -435,13 +435,13 @@ def cq_turns(s, d):
 
 @register("SELECT event_type, 'kept' AS part, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-13' GROUP BY 1 UNION ALL SELECT event_type, 'aggregated', count(value) FROM events WHERE ts < TIMESTAMP '2024-01-13' GROUP BY 1")
 def retention_enforced(s, d):
-    """Two loads of a table by day, cold days compacted, a week kept, the rest aggregated by hour."""
+    """Two loads of a table by day, cold days compacted, six and a half days kept by whole days, the rest aggregated by hour."""
     path = f"{_scratch(s)}/events"
     for odd in (0, 1):
         write_table(events(s, d).df.where(F.col("event_id") % 2 == odd).withColumnRenamed("ts", "time"), path, tags=("event_type",))
     table = lambda: read_table(s, path, "events", ("event_type",), ("value",), sequence=("event_id",))
     compact(table(), path, NOW, "1d")
-    enforce(table(), path, [RetentionPolicy("week", "7d", downsample=Downsample("1h", ("count",), "_1h"))], NOW, "1d")
+    enforce(table(), path, [RetentionPolicy("week", "156h", downsample=Downsample("1h", ("count",), "_1h"))], NOW, "1d")
     kept = s.read.parquet(path).groupBy("event_type").agg(F.lit("kept").alias("part"), F.count(F.lit(1)).alias("n"))
     return kept.unionByName(s.read.parquet(f"{path}_1h").groupBy("event_type").agg(F.lit("aggregated").alias("part"), F.sum("value_count").alias("n")))
 
